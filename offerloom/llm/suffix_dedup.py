@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 GRAM = 128
-STEP = 1 << 20
+STEP = 1 << 18
 PLACE = np.uint64((1 << 22) - 1)
 KEY = ["id0", "th"]
 
@@ -199,9 +199,15 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(x["h"], x["alone"], i, t, x["a"], x["b"], text[x["a"] : x["a"] + x["b"] + depth]) for i, t, text, r in zip(pdf["id0"], pdf["th"], pdf["t"], pdf["r"]) for x in r]
-            for at in range(0, len(rows), 4096):
-                yield pd.DataFrame(rows[at : at + 4096], columns=["h", "alone", *KEY, "a", "b", "seg"])
+            rows: list[tuple] = []
+            for i, t, text, r in zip(pdf["id0"], pdf["th"], pdf["t"], pdf["r"]):
+                for x in r:
+                    rows.append((x["h"], x["alone"], i, t, x["a"], x["b"], text[x["a"] : x["a"] + x["b"] + depth]))
+                    if len(rows) == 2048:
+                        yield pd.DataFrame(rows, columns=["h", "alone", *KEY, "a", "b", "seg"])
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["h", "alone", *KEY, "a", "b", "seg"])
 
     cut = keys.join(wanted.hint("shuffle_hash"), KEY).mapInPandas(segments, "h long, alone boolean, id0 long, th long, a long, b int, seg binary")
     cut = durable(cut, "segments")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix_dedup
+from . import licenses, mixing, simhash, suffix_dedup, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,30 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op4_simhash": op4_simhash}
-SQL: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to take of each document so that sources weighing 5, 2, 1 in turn share 150% of all words, twice each at most."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, max_epochs=2.0)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in each document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule and verdict."""
+    return urls.judge(table(spark, sf_dir, "pages"), rules=urls.RULES)
+
+
+QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_simhash": op4_simhash,
+    "op6_mixing": op6_mixing,
+    "op7_licenses": op7_licenses,
+    "op8_url_filter": op8_url_filter,
+}
+SQL: dict[str, str] = {
+    "op6_mixing": mixing.mix_sql(),
+    "op7_licenses": licenses.scan_sql(),
+    "op8_url_filter": urls.judge_sql(),
+}

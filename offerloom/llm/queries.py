@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, simhash, suffix_dedup, urls
+from . import chat, decontam, embed_dedup, licenses, mixing, simhash, suffix_dedup, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, with other numbers, names or units or without."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document covered by a 400-byte string that also starts elsewhere, and a digest of the rest."""
     return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), depth=400)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links at a cosine of 0.93 or more within its label, and its group."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's 3-word SimHash and its group by links of two bits or fewer."""
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"), size=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each participant's view of each conversation, with what to learn from it."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to take of each document so that sources weighing 5, 2, 1 in turn share 150% of all words, twice each at most."""
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, max_epochs=2.0)
@@ -39,13 +54,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_simhash": op4_simhash,
+    "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_url_filter": op8_url_filter,
 }
 SQL: dict[str, str] = {
+    "op5_chat_format": chat.rotate_sql(),
     "op6_mixing": mixing.mix_sql(),
     "op7_licenses": licenses.scan_sql(),
     "op8_url_filter": urls.judge_sql(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, licenses, mixing, simhash, suffix_dedup, urls
+from . import chat, decontam, embed_dedup, licenses, mixing, quality, simhash, suffix_dedup, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules=urls.RULES)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of each document."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's probability of being good, and whether to keep it."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -62,6 +72,8 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_licenses": op7_licenses,
     "op8_url_filter": op8_url_filter,
+    "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {
     "op5_chat_format": chat.rotate_sql(),

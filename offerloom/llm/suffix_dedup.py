@@ -225,10 +225,10 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame
 
         held: list[pd.DataFrame] = []
         size = 0
-        for pdf in batches:
+        for pdf in (pdf.iloc[at : at + 512] for pdf in batches for at in range(0, len(pdf), 512)):
             held.append(pdf)
             size += int(pdf["seg"].str.len().sum())
-            if size >= 4 * STEP:
+            if size >= 2 * STEP:
                 rows = pd.concat(held, ignore_index=True)
                 full = (rows["h"] != rows["h"].iloc[-1]).to_numpy()  # sorted by h; the last group may go on
                 if full.any():
@@ -267,7 +267,8 @@ def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def kept(data: bytes, gone: list[tuple[int, int]]) -> list[bytes]:
+def kept(data: bytes | memoryview, gone: list[tuple[int, int]]) -> list[bytes | memoryview]:
+    """What stands between the stretches ``gone``."""
     at, out = 0, []
     for s, e in gone:
         out.append(data[at:s])
@@ -275,7 +276,7 @@ def kept(data: bytes, gone: list[tuple[int, int]]) -> list[bytes]:
     return [*out, data[at:]]
 
 
-def whole_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def whole_characters(data: bytes | memoryview, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """``gone`` without bytes of characters that it covers in part, so that the rest is UTF-8."""
     out = []
     for s, e in gone:
@@ -288,10 +289,24 @@ def whole_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def _with_repeats(docs: DataFrame, depth: int) -> DataFrame:
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int, int]]]]:
+    """The bytes of each row's ``t`` and the merged stretches of its ``starts`` and ``stops``."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        data, off = texts_of(part.column("t"))
+        view = memoryview(data)
+        for i, (starts, stops) in enumerate(zip(part.column("starts").to_pylist(), part.column("stops").to_pylist())):
+            yield view[off[i] : off[i + 1]], merged(starts, stops) if starts else []
+
+
+def _matched(docs: DataFrame, depth: int, *columns: str) -> DataFrame:
+    """``doc_id, t`` and ``columns`` of each row of ``docs`` with its stretches as ``starts`` and ``stops``; null where it has none."""
     found = repeats(docs, depth).groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    spans = durable(found.select(F.col("id0").alias("i"), F.col("th").alias("h"), F.arrays_zip("starts", "stops").alias("gone")), "spans")
-    return spans
+    spans = durable(found.toDF("__i0", "__h0", "starts", "stops"), "spans")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select("doc_id", *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("t"))
+    both = own.join(spans.hint("shuffle_hash"), (F.col("__i") == F.col("__i0")) & (F.col("__h") == F.col("__h0")), "left")
+    return both.select("doc_id", *columns, "t", "starts", "stops")
 
 
 def cut_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
@@ -299,27 +314,21 @@ def cut_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
 
     Each byte that :func:`repeats` covers goes. A null text counts as an empty one. An empty table gives none.
     """
-    spans = _with_repeats(docs, depth)
+    schema = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for i, t, gone in zip(pdf["doc_id"], pdf["t"], pdf["gone"]):
-                gone = [] if gone is None else merged([x["starts"] for x in gone], [x["stops"] for x in gone])
+            for data, gone in _stretches(batch):
                 sha = hashlib.sha256()
-                for part in kept(t, gone):
+                for part in kept(data, gone):
                     sha.update(part)
-                rows.append((i, len(t), sum(e - s for s, e in gone), len(gone), sha.hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((len(data), sum(e - s for s, e in gone), len(gone), sha.hexdigest()))
+            columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(schema)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(name for name, _ in schema)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _matched(docs, spans).select("doc_id", "t", "gone").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _matched(docs: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.col("doc_id"), *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("t"))
-    return own.join(spans.hint("shuffle_hash"), (F.col("__i") == F.col("i")) & (F.col("__h") == F.col("h")), "left")
+    return _matched(docs, depth).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
@@ -327,20 +336,15 @@ def without_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
 
     A character that a stretch covers in part stays whole. No row goes; one whose whole text repeats has an empty text left.
     """
-    spans = _with_repeats(docs, depth)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    joined = _matched(docs, spans, *rest)
-
-    @F.pandas_udf("string")
-    def shorter(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        out = []
-        for t, g in zip(texts, gone):
-            if g is not None:
-                t = b"".join(kept(t, whole_characters(t, merged([x["starts"] for x in g], [x["stops"] for x in g]))))
-            out.append(t.decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
-
-    whole = joined.withColumn("text", shorter("t", "gone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [str(b"".join(kept(data, whole_characters(data, gone))), "utf-8", "replace") for data, gone in _stretches(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=["doc_id", *rest, "text"])
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    cut = _matched(docs, depth, *rest).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *rest)) + ", text string")
     if "n_chars" in rest:
-        whole = whole.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)

@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import text as T
 
@@ -41,7 +42,7 @@ def number_score(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 0.5).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The share of two texts that lies in matching blocks (Ratcliff and Obershelp); not symmetric; 0 if one is empty."""
     matcher, out, last = SequenceMatcher(None), [], None
@@ -57,7 +58,7 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def substring_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The longest common substring over the longer length; 0 if one is empty."""
     out = []

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .. import schema as S
 from ..functions import nulls as N
@@ -25,6 +26,11 @@ def have(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A column as a number; one that has a numeric type isn't parsed from text again, which keeps the generated code small."""
+    return F.col(name).cast("double") if isinstance(df.schema[name].dataType, NumericType) else N.to_number(F.col(name))
+
+
 def clear(df: DataFrame, when: Column, names: tuple[str, ...]) -> DataFrame:
     """``df`` with the columns ``names`` null in the rows where ``when`` is true."""
     when = N.true(when)
@@ -33,7 +39,7 @@ def clear(df: DataFrame, when: Column, names: tuple[str, ...]) -> DataFrame:
 
 def clear_unfavourable(df: DataFrame) -> DataFrame:
     """Differences become numbers; a competitor's group is cleared if its difference is 0 or more, or its percentage above -1."""
-    df = df.withColumns({c: N.to_number(F.col(c)) for c in have(df, ("k_diff", "n_diff", "k_diff_pct", "n_diff_pct", "n_diff_ratio"))})
+    df = df.withColumns({c: number(df, c) for c in have(df, ("k_diff", "n_diff", "k_diff_pct", "n_diff_pct", "n_diff_ratio"))})
     for diff, pcts, group in (("k_diff", ("k_diff_pct",), K_GROUP), ("n_diff", ("n_diff_ratio", "n_diff_pct"), N_GROUP)):
         tests = [F.col(diff) >= 0] if diff in df.columns else []
         tests += [F.col(c) > -1 for c in have(df, pcts)[:1]]
@@ -57,7 +63,7 @@ def filter_results(df: DataFrame, most: float = 0.1, grades: tuple[str, ...] = (
 
 def upload_condition(df: DataFrame, threshold: float = -1.0) -> Column:
     """Whether a competitor with a link is cheaper by more than ``-threshold``."""
-    found = [~N.missing_upload(F.col(f"{s}_link")) & (N.to_number(F.col(f"{s}_diff")) < threshold) for s in "kn" if f"{s}_link" in df.columns and f"{s}_diff" in df.columns]
+    found = [~N.missing_upload(F.col(f"{s}_link")) & (number(df, f"{s}_diff") < threshold) for s in "kn" if f"{s}_link" in df.columns and f"{s}_diff" in df.columns]
     return reduce(lambda a, b: a | b, (N.true(x) for x in found), F.lit(False))
 
 
@@ -92,7 +98,7 @@ def clean_market_data(df: DataFrame) -> DataFrame:
     else:
         missing = F.col("n_image").isNull() | F.trim("n_image").isin("", "-")
     missing = N.true(missing)
-    data = [N.true(N.to_number(F.col(c)) != 0) if c in ("n_qty", "n_price", "n_diff") else ~N.missing_upload(F.col(c)) for c in have(df, N_DATA)]
+    data = [N.true(number(df, c) != 0) if c in ("n_qty", "n_price", "n_diff") else ~N.missing_upload(F.col(c)) for c in have(df, N_DATA)]
     some = reduce(lambda a, b: a | b, data, F.lit(False))
     out = {c: F.when(~missing, F.col(c)) for c in have(df, N_DATA)}
     return df.withColumns(out | {"n_image": F.when(missing | some, F.col("n_image"))})
@@ -112,7 +118,7 @@ def clear_without_k_image(df: DataFrame) -> DataFrame:
 def filter_by_difference(df: DataFrame, columns: tuple[str, ...] = ("k_diff", "n_diff"), threshold: float = -1.0) -> DataFrame:
     """Rows of which every difference is below the threshold or no number."""
     for c in have(df, columns):
-        x = N.to_number(F.col(c))
+        x = number(df, c)
         df = df.filter(x.isNull() | (x < threshold))
     return df
 
@@ -188,30 +194,28 @@ def highlight(df: DataFrame, columns: tuple[str, ...] = ("k_diff", "n_diff", "k_
 
 def legacy_upload(df: DataFrame) -> DataFrame:
     """The older upload rules: a negative difference, then links without scheme and groups of no use cleared, then rows left blank dropped."""
-    number = lambda c: N.to_number(F.col(c))
-    df = df.filter(N.true(number("k_diff") < 0) | N.true(number("n_diff") < 0))
+    df = df.filter(N.true(number(df, "k_diff") < 0) | N.true(number(df, "n_diff") < 0))
     dash = have(df, ("k_qty", "k_price", "k_diff", "k_diff_pct", "k_link", "n_qty", "n_price", "n_diff", "n_diff_pct", "n_supplier", "n_link"))
     df = df.withColumns({c: F.when(F.col(c).cast("string") != "-", F.col(c)) for c in dash})
     df = df.withColumns({c: F.when(F.col(c).rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col(c)) for c in have(df, ("k_link", "n_link"))})
     k, n = (*K_DATA, "k_image"), (*N_DATA, "n_image")
-    df = clear(df, number("k_diff") >= 0, k)
-    df = clear(df, number("n_diff") >= 0, n)
-    df = clear(df, number("k_diff_pct") > -1, k)
-    df = clear(df, number("n_diff_pct") > -1, n)
-    blank = F.coalesce(F.trim(F.col("n_qty").cast("string")) == "", F.lit(True)) | N.true(number("n_qty") == 0)
-    df = clear(df, blank & (number("n_diff_pct") > -10) & ~T.contains_any(F.col("n_supplier"), S.PROMO_UPLOAD, fold=False), n)
-    df = df.withColumn("k_qty", F.when(number("k_qty").isNotNull(), F.col("k_qty")))
+    df = clear(df, number(df, "k_diff") >= 0, k)
+    df = clear(df, number(df, "n_diff") >= 0, n)
+    df = clear(df, number(df, "k_diff_pct") > -1, k)
+    df = clear(df, number(df, "n_diff_pct") > -1, n)
+    blank = F.coalesce(F.trim(F.col("n_qty").cast("string")) == "", F.lit(True)) | N.true(number(df, "n_qty") == 0)
+    df = clear(df, blank & (number(df, "n_diff_pct") > -10) & ~T.contains_any(F.col("n_supplier"), S.PROMO_UPLOAD, fold=False), n)
+    df = df.withColumn("k_qty", F.when(number(df, "k_qty").isNotNull(), F.col("k_qty")))
     some = [F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)) for c in dash]
     return df.filter(reduce(lambda a, b: a | b, some))
 
 
 def business_rules(df: DataFrame) -> DataFrame:
     """The written rules: a negative difference only; shopping offers without quantity within 10 % go; rises go; rows without an offer are dropped."""
-    number = lambda c: N.to_number(F.col(c))
-    df = clear(df, number("k_diff") >= 0, K_GROUP)
-    df = clear(df, number("n_diff") >= 0, N_GROUP)
-    df = clear(df, N.missing_upload(F.col("n_qty")) & (F.abs(number("n_diff_pct")) <= 10), N_GROUP)
-    return df.filter(N.true(number("k_diff") < 0) | N.true(number("n_diff") < 0))
+    df = clear(df, number(df, "k_diff") >= 0, K_GROUP)
+    df = clear(df, number(df, "n_diff") >= 0, N_GROUP)
+    df = clear(df, N.missing_upload(F.col("n_qty")) & (F.abs(number(df, "n_diff_pct")) <= 10), N_GROUP)
+    return df.filter(N.true(number(df, "k_diff") < 0) | N.true(number(df, "n_diff") < 0))
 
 
 def checked_images(df: DataFrame, column: str, base: str, hosts: tuple[str, ...] = ()) -> DataFrame:

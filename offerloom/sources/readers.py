@@ -149,7 +149,7 @@ def image_files(spark: SparkSession, path: str, modified_after: str | None = Non
     return r.load(path).select("path", "length", "modificationTime")
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def literal_map(cells: pd.Series) -> pd.Series:
     """Cells that hold a mapping as a literal with single quotes and None; null for anything else."""
     import ast

@@ -5,8 +5,7 @@ one group when sorted that deep. The sort runs over most significant digits firs
 
 1. Every suffix is filed under the least of the ``GRAM``-byte strings in its first ``depth`` bytes (a choice that equal suffixes
    share), neighbours with the same choice as one run. The digit of the first pass is that string; it settles nearly all text.
-2. The digit of the second pass is all that the run's suffixes read. Where a group has only one such value, all of the runs in
-   it repeat in full.
+2. The digit of the second pass is all that the run's suffixes read. Runs that are equal in it repeat in full, wherever they stand.
 3. Runs that share the string but not the whole are sorted by the ``depth`` bytes of each suffix. One run stands for all equal
    ones; a group with very many different runs is spread over the cluster suffix by suffix.
 
@@ -186,14 +185,13 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame
         raise ValueError(f"depth must be {2 * GRAM} at least")
     keys = keyed(docs)
     runs = _runs(keys, depth)
-    groups = _runs(keys, depth).groupBy("h").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
-    shared = durable(runs.join(groups.filter("n > 1"), "h").selectExpr("h", "u", *KEY, "a", "p", "b", "low = high AS whole"), "runs")
-    found = shared.filter("whole").selectExpr(*KEY, "a AS start", f"a + b + {depth} AS stop")
+    equal = durable(runs.groupBy("h", "u").agg(F.count("*").alias("n")), "equal")
+    groups = equal.groupBy("h").agg(F.sum("n").alias("rows"), F.count("*").alias("k")).filter("rows > 1")
+    shared = durable(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "p", "b", "n", "k"), "runs")
+    found = shared.filter("n > 1").selectExpr(*KEY, "a AS start", f"a + b + {depth} AS stop")
 
-    kinds = shared.filter("not whole").groupBy("h", "u").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "a", "p", "b")).alias("r"))
+    kinds = shared.filter("k > 1").groupBy("h", "u").agg(F.max("n").alias("n"), F.min(F.struct(*KEY, "a", "p", "b")).alias("r"))
     kinds = durable(kinds, "kinds")
-    several = shared.filter("not whole").join(kinds.filter("n > 1").select("h", "u"), ["h", "u"], "left_semi")
-    found = found.union(several.selectExpr(*KEY, "a AS start", f"a + b + {depth} AS stop"))
 
     wanted = kinds.selectExpr("h", "n = 1 AS alone", "r.*").groupBy(*KEY).agg(F.collect_list(F.struct("h", "alone", "a", "b")).alias("r"))
 

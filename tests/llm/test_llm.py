@@ -163,7 +163,7 @@ def test_tokens(spark):
     assert got[1] == got[2] == (0, 0) and got[0][0] == 3 and got[3][0] == 1 and got[0][1] >= 2 * got[3][1]
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.1"])
 def test_quality_held_out(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
     even = labels.filter("doc_id % 2 = 0")

@@ -288,23 +288,23 @@ def whole_characters(data: bytes | memoryview, gone: list[tuple[int, int]]) -> l
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int, int]]]]:
-    """The bytes of each row's ``t`` and the merged stretches of its ``starts`` and ``stops``."""
+    """The bytes of each row's ``__t`` and the merged stretches of its ``__starts`` and ``__stops``."""
     for at in range(0, batch.num_rows, 256):
         part = batch.slice(at, 256)
-        data, off = texts_of(part.column("t"))
+        data, off = texts_of(part.column("__t"))
         view = memoryview(data)
-        for i, (starts, stops) in enumerate(zip(part.column("starts").to_pylist(), part.column("stops").to_pylist())):
+        for i, (starts, stops) in enumerate(zip(part.column("__starts").to_pylist(), part.column("__stops").to_pylist())):
             yield view[off[i] : off[i + 1]], merged(starts, stops) if starts else []
 
 
 def _matched(docs: DataFrame, depth: int, *columns: str) -> DataFrame:
-    """``doc_id, t`` and ``columns`` of each row of ``docs`` with its stretches as ``starts`` and ``stops``; null where it has none."""
+    """``doc_id``, the text ``__t`` and ``columns`` of each row of ``docs`` with its stretches as ``__starts`` and ``__stops``; null where it has none."""
     found = repeats(docs, depth).groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    spans = durable(found.toDF("__i0", "__h0", "starts", "stops"), "spans")
+    spans = durable(found.toDF("__i0", "__h0", "__starts", "__stops"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("t"))
+    own = docs.select("doc_id", *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("__t"))
     both = own.join(spans.hint("shuffle_hash"), (F.col("__i") == F.col("__i0")) & (F.col("__h") == F.col("__h0")), "left")
-    return both.select("doc_id", *columns, "t", "starts", "stops")
+    return both.select("doc_id", *columns, "__t", "__starts", "__stops")
 
 
 def cut_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:

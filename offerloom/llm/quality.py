@@ -3,6 +3,9 @@
 Both views are logistic regressions fitted on a bounded sample of labelled rows. In each round a view labels the rows of an unlabelled
 pool it is surest of, and those go into the other view's training rows. At the end each view is calibrated on labelled rows held out
 from all of that, and a last regression on both calibrated scores gives the probability that scores every document.
+
+Where the labels say which documents are toxic, a second model of the same form learns that. Its text view counts a document's words
+that the sample's toxic documents hold far more often than the others; those words are learnt, too.
 """
 
 from __future__ import annotations
@@ -14,8 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Table
 
 TEXT_EXTRA = 7
+HARM = 3
+#: Lower case, and a blank for each ASCII byte that is no letter
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SOURCES, LANGS, LENGTHS = 64, 16, 24
 
 
@@ -41,6 +48,18 @@ def text_view(data: bytes | None) -> np.ndarray:
     return out
 
 
+def plain_words(data: bytes | None) -> set[bytes]:
+    """The distinct words of a whole text, A-Z lower-cased."""
+    return set((data or b"").translate(PLAIN).split())
+
+
+def harm_view(data: bytes | None, harmful: dict[bytes, float]) -> np.ndarray:
+    """Features of a whole text: how many distinct words are in ``harmful``, their weights' sum, and their share of the distinct words."""
+    own = plain_words(data)
+    hits = [harmful[w] for w in own & harmful.keys()]
+    return np.array((math.log1p(len(hits)), min(sum(hits), 60.0), len(hits) / max(1, len(own))))
+
+
 def meta_view(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
     """Features of a page's metadata: its source, language and stated length, each a place for null."""
     import xxhash
@@ -77,15 +96,13 @@ def logit(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np
     return np.clip(((x - mean) / scale) @ b[:-1] + b[-1], -30, 30)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int = 5, grow: int = 100, sure: float = 0.95) -> dict | None:
+def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = 5, grow: int = 100, sure: float = 0.95, highest: float = 0.5) -> dict | None:
     """A model of two views from rows labelled 0 or 1 in ``y``, or unlabelled (-1); None where one of the labels is missing.
 
-    Every fourth labelled row is held out for calibration. In each round a view gives the other at most ``grow`` rows of each kind of which
-    it is at least ``sure``.
+    The labelled rows marked in ``held`` are kept for calibration. In each round a view gives the other at most ``grow`` rows of each kind of which
+    it is at least ``sure``. The cut is where at most one in 500 of the held rows labelled 1 fall below it, and ``highest`` at most.
     """
-    marked = np.flatnonzero(y >= 0)
-    held = marked[3::4]
-    base = np.setdiff1d(marked, held)
+    base, held = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held)
     if min(len(set(y[base])), len(set(y[held]))) < 2:
         return None
     free = [np.flatnonzero(y < 0)] * 2
@@ -108,7 +125,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, rounds: int = 5, grow: int
     both = np.stack([logit(s, logit(m, x[held])[:, None]) for s, m, x in zip(scaled, models, views)], axis=1)
     last = fit_logistic(both, y[held])
     good = 1 / (1 + np.exp(-logit(last, both[y[held] == 1])))
-    return {"views": models, "scales": scaled, "last": last, "cut": float(min(0.5, np.quantile(good, 0.002)))}
+    return {"views": models, "scales": scaled, "last": last, "cut": float(min(highest, np.quantile(good, 0.002)))}
 
 
 def predict(model: dict | None, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -118,11 +135,12 @@ def predict(model: dict | None, text: np.ndarray, meta: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-logit(model["last"], both)))
 
 
-def _views(texts: pd.Series, sources: pd.Series, langs: pd.Series, sizes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _views(texts: pd.Series, sources: pd.Series, langs: pd.Series, sizes: pd.Series, harmful: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = lambda x: None if x is None or x != x else x
-    text = np.stack([text_view(t) for t in texts]) if len(texts) else np.zeros((0, 256 + TEXT_EXTRA))
-    meta = np.stack([meta_view(none(s), none(g), none(n)) for s, g, n in zip(sources, langs, sizes)]) if len(texts) else np.zeros((0, SOURCES + LANGS + LENGTHS))
-    return text, meta
+    if not len(texts):
+        return np.zeros((0, 256 + TEXT_EXTRA)), np.zeros((0, HARM)), np.zeros((0, SOURCES + LANGS + LENGTHS))
+    meta = np.stack([meta_view(none(s), none(g), none(n)) for s, g, n in zip(sources, langs, sizes)])
+    return np.stack([text_view(t) for t in texts]), np.stack([harm_view(t, harmful) for t in texts]), meta
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -130,63 +148,95 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [F.col("text").cast("binary"), have("source", "string"), have("lang", "string"), have("n_chars", "double")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000) -> dict | None:
-    """A co-trained model from at most ``labelled`` rows of ``labels(doc_id, quality)`` and ``pool`` other documents.
+def _harmful(sample: DataFrame, words: int, least: float = 20.0) -> dict[bytes, float]:
+    """At most ``words`` words with their log odds: those whose odds between toxic and other labelled rows stand out by ``least`` or more."""
+    known = sample.filter("harmless >= 0 and not held")
+    sizes = known.agg(F.coalesce(F.sum("harmless"), F.lit(0)).alias("no"), F.count("*").alias("all")).first()
+    no, yes = sizes["no"], sizes["all"] - sizes["no"]
+
+    def split(batches):
+        for pdf in batches:
+            sets = [plain_words(t) for t in pdf["t"]]
+            yield pd.DataFrame({"word": [w for own in sets for w in own], "harmless": np.repeat(pdf["harmless"].to_numpy(), [len(own) for own in sets])})
+
+    count = known.select("t", "harmless").mapInPandas(split, "word binary, harmless long").groupBy("word").agg(F.sum("harmless").alias("c"), F.sum(1 - F.col("harmless")).alias("a"))
+    odds = F.log((F.col("a") + 0.5) / (yes + 1.0) / ((F.col("c") + 0.5) / (no + 1.0)))
+    best = count.withColumn("odds", odds).withColumn("g", 2 * F.col("a") * F.col("odds")).filter(F.col("g") >= least)
+    return {bytes(r.word): r.odds for r in best.orderBy(F.desc("g"), "word").limit(words).collect()}
 
-    Both samples are the rows with the least hash of their ``doc_id``. Null ids and labels are left out; a document labelled twice takes the
-    lower label. None if a label is missing among the sample: then there is nothing to learn.
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, words: int = 1000) -> dict | None:
+    """Co-trained models from at most ``labelled`` rows of ``labels(doc_id, quality, toxic)`` and ``pool`` other documents.
+
+    Both samples are the rows with the least hash of their ``doc_id``; every fourth labelled one is held out. Null ids and labels are left out; a
+    document labelled twice takes the worse label. ``toxic`` may be missing. ``good`` or ``harmless`` is None if one of its labels is missing
+    among the sample: then there is nothing to learn. At most ``words`` words are learnt as signs of toxic documents.
     """
     spark = docs.sparkSession
     order = F.xxhash64("doc_id", F.lit("sample"))
-    marked = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    taken = marked.orderBy(order, "doc_id").limit(labelled).toPandas()
+    toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
+    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.min(1 - toxic).alias("harmless"))
+    marked = marked.filter("quality is not null or harmless is not null").fillna(-1, ["quality", "harmless"])
+    taken = marked.orderBy(order, "doc_id").limit(labelled).toPandas().sort_values("doc_id")
+    taken["held"] = np.arange(len(taken)) % 4 == 3
     rest = docs.select("doc_id").filter("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).toPandas()
-    ids = pd.concat([taken, rest.drop_duplicates().assign(quality=-1)], ignore_index=True)
+    ids = pd.concat([taken, rest.drop_duplicates().assign(quality=-1, harmless=-1, held=False)], ignore_index=True)
     if not len(ids):
         return None
-    few = spark.createDataFrame(ids.astype({"quality": int}), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality long")
+    few = spark.createDataFrame(ids.astype({"quality": int, "harmless": int, "held": bool}), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality long, harmless long, held boolean")
+    # labelled + pool ids: a bounded table
+    own = Table(docs.select("doc_id", *[c.alias(n) for c, n in zip(_columns(docs), "tsgn")]).join(F.broadcast(few), "doc_id"), "sample")
+    harmful = _harmful(own.df, words)
 
     def features(batches):
         for pdf in batches:
-            text, meta = _views(pdf["t"], pdf["s"], pdf["g"], pdf["n"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "text": list(text), "meta": list(meta)})
+            text, harm, meta = _views(pdf["t"], pdf["s"], pdf["g"], pdf["n"], harmful)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "harmless": pdf["harmless"], "held": pdf["held"], "text": list(text), "harm": list(harm), "meta": list(meta)})
 
-    # labelled + pool ids: a bounded table
-    own = docs.join(F.broadcast(few), "doc_id").select("doc_id", "quality", *[c.alias(n) for c, n in zip(_columns(docs), "tsgn")])
-    rows = own.mapInPandas(features, "doc_id long, quality long, text array<double>, meta array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality long, harmless long, held boolean, text array<double>, harm array<double>, meta array<double>"
+    rows = own.df.mapInPandas(features, out).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    own.drop()
     if not len(rows):
         return None
-    return co_train([np.stack(rows["text"]), np.stack(rows["meta"])], (rows["quality"].to_numpy()).astype(int))
-
-
-def _scorer(docs: DataFrame, model: dict | None):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(t: pd.Series, s: pd.Series, g: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
+    text, harm, meta = (np.stack(rows[c]) for c in ("text", "harm", "meta"))
+    held = rows["held"].to_numpy(bool)
+    good = co_train([text, meta], rows["quality"].to_numpy(int), held)
+    # without words to go by, metadata alone must not call a document toxic
+    harmless = co_train([harm, meta], rows["harmless"].to_numpy(int), held, sure=0.98, highest=0.75) if harmful else None
+    return {"good": good, "harmless": harmless, "harmful": harmful}
+
+
+def _scorer(docs: DataFrame, model: dict | None) -> Column:
+    """``good double, harmless double, keep boolean`` of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or {"good": None, "harmless": None, "harmful": {}})
+
+    @F.pandas_udf("good double, harmless double, keep boolean")
+    def score(t: pd.Series, s: pd.Series, g: pd.Series, n: pd.Series) -> pd.DataFrame:
+        model, out = shared.value, [np.zeros((0, 3))]
+        cuts = [model[c]["cut"] if model[c] else 0.5 for c in ("good", "harmless")]
         for at in range(0, len(t), 1024):
             cut = slice(at, at + 1024)
-            out.append(predict(shared.value, *_views(t.iloc[cut], s.iloc[cut], g.iloc[cut], n.iloc[cut])))
-        return pd.Series(np.round(np.concatenate(out), 6) if out else [], dtype=float)
+            text, harm, meta = _views(t.iloc[cut], s.iloc[cut], g.iloc[cut], n.iloc[cut], model["harmful"])
+            good = predict(model["good"], text, meta)
+            harmless = predict(model["harmless"], harm, meta) if model["harmless"] else np.ones(len(text))
+            out.append(np.stack([np.round(good, 6), np.round(harmless, 6), (good >= cuts[0]) & (harmless >= cuts[1])], axis=1))
+        found = np.concatenate(out)
+        return pd.DataFrame({"good": found[:, 0], "harmless": found[:, 1], "keep": found[:, 2] > 0})
 
     return score(*_columns(docs))
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000) -> DataFrame:
-    """``doc_id, score, keep`` for each row of ``docs``: the probability that it is good, from its whole text and its metadata.
+    """``doc_id, score, harmless, keep`` for each row of ``docs``: the probability that it is good, and that it isn't toxic.
 
-    ``keep`` is false below the cut, which at most one in 500 of the good rows held out fell under and never exceeds 0.5. Without labels of both
-    kinds every score is 0.5 and every row kept. A null text counts as an empty one; null or missing metadata are values of their own. An empty table
-    gives none.
+    ``keep`` is false where either is below its cut, which at most one in 500 of the good (or harmless) rows held out fell under and never exceeds
+    0.5 (0.75). Without labels of both kinds ``score`` is 0.5 (``harmless`` 1) and every row kept. A null text counts as an empty one; null or missing
+    metadata are values of their own. An empty table gives none.
     """
-    model = fit(docs, labels, labelled, pool)
-    cut = model["cut"] if model else 0.5
-    return docs.select("doc_id", _scorer(docs, model).alias("score")).withColumn("keep", F.col("score") >= round(cut, 6))
+    found = docs.select("doc_id", _scorer(docs, fit(docs, labels, labelled, pool)).alias("found"))
+    return found.select("doc_id", F.col("found.good").alias("score"), "found.harmless", "found.keep")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that :func:`classify` doesn't keep; columns stay."""
-    model = fit(docs, labels)
-    cut = model["cut"] if model else 0.5
-    return docs.filter(_scorer(docs, model) >= round(cut, 6)).select(*docs.columns)
+    return docs.filter(_scorer(docs, fit(docs, labels))["keep"]).select(*docs.columns)

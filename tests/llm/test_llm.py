@@ -214,3 +214,80 @@ def test_quality_edges(spark):
     left = quality.good_documents(extra, labels)
     assert left.columns == extra.columns and left.count() == 8
     assert quality.classify(docs, labels.drop("toxic")).count() == 8
+
+
+def test_clashing_columns_of_other_tables(spark):
+    mine = [F.lit("mine").alias(c) for c in CLASH if c not in ("label", "role", "turn", "host", "path")]
+    vectors = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, None, 1), (3, [1.0, 0.0], None)], "vec_id long, embedding array<float>, label int")
+    talk = spark.createDataFrame([(1, 0, "user", "Hi"), (1, 1, "assistant", "Yo"), (1, 1, "assistant", "Yo"), (2, None, None, "")], "conv_id long, turn long, role string, text string")
+    pages = spark.createDataFrame([(0, "http://a.com/en/1", ""), (0, "http://a.com/en/1", ""), (None, None, None)], "page_id long, url string, html string")
+    rows = lambda df, names: sorted(map(repr, df.select(*names).collect()))
+    for call, df in ((lambda d: embed_dedup.near_duplicates(d, threshold=0.93), vectors), (chat.rotate, talk), (lambda d: urls.judge(d, rules=urls.RULES), pages)):
+        plain = call(df)
+        assert rows(call(df.select("*", *mine)), plain.columns) == rows(plain, plain.columns)
+        assert call(df.limit(0)).count() == 0
+
+
+def filled(sizes, share, epochs):
+    """Targets by capped water-filling, from each source's size; weights 5, 2, 1 in turn."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    total, full = share * sum(sizes.values()), set()
+    while True:
+        left, own = total - sum(epochs * sizes[s] for s in full), sum(weight[s] for s in names if s not in full)
+        target = {s: epochs * sizes[s] if s in full else left * weight[s] / own for s in names}
+        over = {s for s in names if target[s] > epochs * sizes[s] + 1e-9} - full
+        if not over:
+            return target
+        full |= over
+
+
+def test_pipeline_by_brute_force(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    steps = dict(corpus_pipeline.STAGES)
+    items = [i.text or "" for i in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    states, at = [docs], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf_dir)
+        assert at.columns == docs.columns
+        at = spark.createDataFrame(at.collect(), docs.schema)
+        states.append(at)
+    texts = [{r.doc_id: r.text for r in s.collect()} for s in states]
+
+    model = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert set(texts[1]) == {r.doc_id for r in model.collect() if r.keep}
+
+    ids = sorted(texts[1])
+    fp = [fingerprint(texts[1][i]) for i in ids]
+    low = smallest(len(ids), [(i, j) for i, j in itertools.combinations(range(len(ids)), 2) if (fp[i] ^ fp[j]).bit_count() <= 2])
+    assert texts[2] == {ids[i]: texts[1][ids[i]] for i in set(low)}
+
+    ids = sorted(texts[2])
+    cut = brute_cut([texts[2][i] for i in ids])
+    assert set(texts[3]) == set(ids)
+    for n, i in enumerate(ids):
+        before, after = (texts[2][i] or "").encode(), (texts[3][i] or "").encode()
+        # a character that is covered in part stays: at most three bytes at either end of a span
+        assert 0 <= cut[n][1] - (len(before) - len(after)) <= 6 * cut[n][2]
+        if cut[n][1] == len(before) - len(after):
+            assert hashlib.sha256(after).hexdigest() == cut[n][3]
+
+    grams = lambda text, size: (lambda w: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)})(re.findall(r"\w+", (text or "").lower()))
+    shared = lambda size: {i for i in texts[3] if grams(texts[3][i], size) & set().union(*(grams(t, size) for t in items))}
+    gone = set(texts[3]) - set(texts[4])
+    assert set() < shared(20) <= gone <= shared(3)
+    assert all(texts[4][i] == texts[3][i] for i in texts[4])
+
+    source = {r.doc_id: r.source for r in states[4].collect()}
+    words_of = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts[4].items()}
+    sizes = {s: sum(words_of[i] for i in source if source[i] == s) for s in set(source.values())}
+    target = filled(sizes, 1.5, 2.0)
+    rows = steps["mixing sources to target weights"](spark, states[4], sf_dir).collect()
+    assert all(0 < r.taken <= 2 * words_of[r.doc_id] and r.text == texts[4][r.doc_id] and abs(r.target - target[source[r.doc_id]]) < 1e-6 for r in rows)
+    assert len({r.doc_id for r in rows}) == len(rows)
+    for s, own in sizes.items():
+        assert abs(sum(r.taken for r in rows if source[r.doc_id] == s) - target[s]) <= max([words_of[i] for i in source if source[i] == s])
+    assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, sf_dir).collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import decontam, mixing, quality, simhash, suffix_dedup
+from offerloom.llm import decontam, jaccard, mixing, quality, simhash, suffix_dedup
 from offerloom.llm.common import durable
 
 
@@ -14,8 +14,12 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs, size=3, radius=2)
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    SimHash takes the copies that differ in next to nothing; documents left that share 0.8 or more of their five-word shingles go next.
+    """
+    left = durable(simhash.drop_near_copies(docs, size=3, radius=2), "simhash")
+    return jaccard.drop_similar(left, size=5, least=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,25 +22,29 @@ FANOUT = 4
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def shingles(data: bytes | None, size: int) -> list[int]:
+    """Hashes of a text's shingles in their order, with repeats."""
+    import xxhash
+
+    words = (data or b"").lower().split()
+    h = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return [h(b" ".join(words), 42)] if words else []
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    first = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
+    return [h(joined[s:e], 42) for s, e in zip(first, (ends[size - 1 :] - 1).tolist())]
+
+
 def fingerprint(data: bytes | None, size: int = 3) -> int:
     """The fingerprint of one text in UTF-8, as an unsigned number: a bit is set if it is set in over half the shingles' hashes.
 
     A-Z become lower case; words are runs without white space (space, 09-0D); shingles are ``size`` words joined by a space, with
     repeats. Fewer words give one shingle, none (or null) gives zero.
     """
-    import xxhash
-
-    words = (data or b"").lower().split()
-    if not words:
+    hashes = shingles(data, size)
+    if not hashes:
         return 0
-    h = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        hashes = [h(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        first = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
-        hashes = [h(joined[s:e], 42) for s, e in zip(first, (ends[size - 1 :] - 1).tolist())]
     n, counts = len(hashes), np.zeros(64, np.int64)
     values = np.array(hashes, dtype=">u8")
     for at in range(0, n, 32_768):

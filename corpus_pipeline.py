@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere too are cut out; every document stays."""
-    return suffix_dedup.without_repeats(docs, depth=400)
+    """Passages of over 50 words, and any of 400 bytes or more, that occur elsewhere too are cut out; every document stays."""
+    return suffix_dedup.without_repeats(docs, depth=400, words=51)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ one group when sorted that deep. The sort runs over most significant digits firs
    ones; a group with very many different runs is spread over the cluster suffix by suffix.
 
 Digits wider than a word are compared by two independent 64-bit hashes of their bytes.
+
+With ``words`` the same is done on whole words in place of bytes: a text is the sequence of its words' 64-bit hashes, white space between
+them doesn't count, and depths and places are in words.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import durable
 
 GRAM = 128
+#: The same for texts as words
+WORD_GRAM = 16
 STEP = 1 << 18
 PLACE = np.uint64((1 << 22) - 1)
 KEY = ["id0", "th"]
@@ -38,6 +43,7 @@ class Roller:
         rng = np.random.default_rng(seed)
         self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+        self.word = np.uint64(int(rng.integers(1 << 62, 1 << 63)) | 1)
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
@@ -50,7 +56,8 @@ class Roller:
                 powers[0] = 1
                 setattr(self, name, np.cumprod(powers))
         out = np.zeros(n, np.uint64)
-        np.cumsum(self.byte[data] * self.up[: n - 1], out=out[1:])
+        unit = self.byte[data] if data.dtype == np.uint8 else (data * self.word) ^ (data >> np.uint64(32))
+        np.cumsum(unit * self.up[: n - 1], out=out[1:])
         return out
 
     def of(self, sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
@@ -80,13 +87,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+def runs_of(data: np.ndarray, ends: np.ndarray, depth: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Runs of suffixes ``(first, anchor, last, h, u)`` in the documents that end at ``ends`` in ``data``.
 
-    ``h`` hashes the ``GRAM`` bytes at ``anchor``, ``u`` all bytes that the suffixes ``first`` to ``last`` read, with the shape.
+    ``h`` hashes the ``gram`` bytes (or words) at ``anchor``, ``u`` all bytes that the suffixes ``first`` to ``last`` read, with the shape.
     """
     one, two = rollers()
-    width = depth - GRAM + 1
+    width = depth - gram + 1
     if len(data) < depth:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     ok = np.ones(len(data), bool)
@@ -95,11 +102,11 @@ def runs_of(data: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray,
         ok[max(start, end - depth + 1) : end] = False
         start = end
     s1 = one.sums(data)
-    grams = one.of(s1, slice(0, len(s1) - GRAM), slice(GRAM, None))
+    grams = one.of(s1, slice(0, len(s1) - gram), slice(gram, None))
     order = sliding_min((grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), width)
     starts = np.flatnonzero(ok[: len(order)])
     if not len(starts):
-        return runs_of(data[:0], ends[:0], depth)
+        return runs_of(data[:0], ends[:0], depth, gram)
     anchor = (order[starts] & PLACE).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
     first, anchor, last = starts[new], anchor[new], starts[np.append(new[1:], len(starts)) - 1]
@@ -136,18 +143,42 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id0"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th"), text.cast("binary").alias("t"))
 
 
-def _runs(keys: DataFrame, depth: int) -> DataFrame:
+def coded(keys: DataFrame) -> DataFrame:
+    """``keys`` with the 64-bit hashes of the words of ``t`` in place of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                codes = [np.array([h(w) for w in t.split()], np.uint64).tobytes() for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id0"), part.column("th"), pa.array(codes, pa.binary())], names=[*KEY, "t"])
+
+    return keys.mapInArrow(run, "id0 long, th long, t binary")
+
+
+def word_bounds(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (a run without space, 09-0D) of ``data`` starts and ends."""
+    x = np.frombuffer(data, np.uint8)
+    word = np.concatenate(([False], (x != 32) & ((x < 9) | (x > 13)), [False]))
+    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+
+
+def _runs(keys: DataFrame, depth: int, unit: type = np.uint8) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("id0", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("p", pa.int32()), ("b", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = texts_of(batch.column("t"))
+            data, off = data.view(unit), off // np.dtype(unit).itemsize
             id0, th = (batch.column(k).to_numpy() for k in KEY)
             for lo, hi in pieces(off, depth):
                 at = np.searchsorted(off, lo, "right") - 1
                 ends = np.minimum(off[at + 1 :], hi)
                 ends = ends[: np.searchsorted(ends, hi) + 1] - lo
-                first, anchor, last, h, u = runs_of(data[lo:hi], ends, depth)
+                first, anchor, last, h, u = runs_of(data[lo:hi], ends, depth, GRAM if unit is np.uint8 else WORD_GRAM)
                 if len(first):
                     doc = np.searchsorted(off, first + lo, "right") - 1
                     columns = (h.view(np.int64), u.view(np.int64), id0[doc], th[doc], first + lo - off[doc], (anchor - first).astype(np.int32), (last - first).astype(np.int32))
@@ -156,10 +187,10 @@ def _runs(keys: DataFrame, depth: int) -> DataFrame:
     return keys.mapInArrow(run, "h long, u long, id0 long, th long, a long, p int, b int")
 
 
-def _windows(segments: list[bytes], counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+def _windows(segments: list[bytes], counts: np.ndarray, depth: int, unit: type = np.uint8) -> tuple[np.ndarray, ...]:
     """Both hashes of every suffix's first ``depth`` bytes, with the segment and place of each."""
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    begin = np.concatenate(([0], np.cumsum([len(x) for x in segments])))[:-1]
+    data = np.frombuffer(b"".join(segments), unit)
+    begin = np.concatenate(([0], np.cumsum([len(x) // data.itemsize for x in segments])))[:-1]
     seg = np.repeat(np.arange(len(segments)), counts)
     place = np.arange(len(seg)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = begin[seg] + place
@@ -175,16 +206,19 @@ def _twice(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame:
+def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384, words: bool = False) -> DataFrame:
     """Stretches ``(id0, th, start, stop)`` of bytes of ``docs`` covered by a string of ``depth`` bytes that starts elsewhere too.
 
     Overlaps count and so does the same document; matches don't cross documents. Stretches of one document may touch or
     overlap. Only ``doc_id`` and ``text`` are read. A null or short text has none; rows that repeat repeat one another.
+    With ``words``, ``depth``, ``start`` and ``stop`` are in words.
     """
-    if depth < 2 * GRAM:
-        raise ValueError(f"depth must be {2 * GRAM} at least")
-    keys = keyed(docs)
-    runs = _runs(keys, depth)
+    unit, gram = (np.uint64, WORD_GRAM) if words else (np.uint8, GRAM)
+    if depth < 2 * gram:
+        raise ValueError(f"depth must be {2 * gram} at least")
+    keys = coded(keyed(docs)) if words else keyed(docs)
+    runs = _runs(keys, depth, unit)
+    wide = np.dtype(unit).itemsize
     equal = durable(runs.groupBy("h", "u").agg(F.count("*").alias("n")), "equal")
     groups = equal.groupBy("h").agg(F.sum("n").alias("rows"), F.count("*").alias("k")).filter("rows > 1")
     shared = durable(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "p", "b", "n", "k"), "runs")
@@ -200,7 +234,7 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame
             rows: list[tuple] = []
             for i, t, text, r in zip(pdf["id0"], pdf["th"], pdf["t"], pdf["r"]):
                 for x in r:
-                    rows.append((x["h"], x["alone"], i, t, x["a"], x["b"], text[x["a"] : x["a"] + x["b"] + depth]))
+                    rows.append((x["h"], x["alone"], i, t, x["a"], x["b"], text[x["a"] * wide : (x["a"] + x["b"] + depth) * wide]))
                     if len(rows) == 2048:
                         yield pd.DataFrame(rows, columns=["h", "alone", *KEY, "a", "b", "seg"])
                         rows = []
@@ -213,7 +247,7 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(rows: pd.DataFrame) -> pd.DataFrame:
-            f1, f2, seg, place = _windows(rows["seg"].tolist(), rows["b"].to_numpy().astype(np.int64) + 1, depth)
+            f1, f2, seg, place = _windows(rows["seg"].tolist(), rows["b"].to_numpy().astype(np.int64) + 1, depth, unit)
             hit = np.flatnonzero(_twice(f1, f2) & rows["alone"].to_numpy()[seg])
             seg, place = seg[hit], place[hit]
             new = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (place[1:] != place[:-1] + 1)))) if len(hit) else hit
@@ -245,13 +279,13 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384) -> DataFrame
         for pdf in batches:
             for at in range(0, len(pdf), 1024):
                 rows = pdf.iloc[at : at + 1024]
-                f1, f2, seg, place = _windows(rows["seg"].tolist(), rows["b"].to_numpy().astype(np.int64) + 1, depth)
+                f1, f2, seg, place = _windows(rows["seg"].tolist(), rows["b"].to_numpy().astype(np.int64) + 1, depth, unit)
                 own = rows.iloc[seg]
                 yield pd.DataFrame({"f1": f1.view(np.int64), "f2": f2.view(np.int64), "alone": own["alone"].to_numpy(), "id0": own["id0"].to_numpy(), "th": own["th"].to_numpy(), "start": own["a"].to_numpy() + place})
 
-    wide = durable(cut.join(many, "h", "left_semi").mapInPandas(spread, "f1 long, f2 long, alone boolean, id0 long, th long, start long"), "windows")
-    twice = wide.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
-    return found.union(wide.filter("alone").join(twice, ["f1", "f2"], "left_semi").selectExpr(*KEY, "start", f"start + {depth} AS stop"))
+    windows = durable(cut.join(many, "h", "left_semi").mapInPandas(spread, "f1 long, f2 long, alone boolean, id0 long, th long, start long"), "windows")
+    twice = windows.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
+    return found.union(windows.filter("alone").join(twice, ["f1", "f2"], "left_semi").selectExpr(*KEY, "start", f"start + {depth} AS stop"))
 
 
 def merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -288,23 +322,31 @@ def whole_characters(data: bytes | memoryview, gone: list[tuple[int, int]]) -> l
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int, int]]]]:
-    """The bytes of each row's ``__t`` and the merged stretches of its ``__starts`` and ``__stops``."""
+    """The bytes of each row's ``__t`` and its merged stretches: those of ``__starts`` and ``__stops``, and of ``__wstarts`` and ``__wstops`` in words."""
     for at in range(0, batch.num_rows, 256):
         part = batch.slice(at, 256)
         data, off = texts_of(part.column("__t"))
         view = memoryview(data)
-        for i, (starts, stops) in enumerate(zip(part.column("__starts").to_pylist(), part.column("__stops").to_pylist())):
-            yield view[off[i] : off[i + 1]], merged(starts, stops) if starts else []
-
-
-def _matched(docs: DataFrame, depth: int, *columns: str) -> DataFrame:
-    """``doc_id``, the text ``__t`` and ``columns`` of each row of ``docs`` with its stretches as ``__starts`` and ``__stops``; null where it has none."""
-    found = repeats(docs, depth).groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    spans = durable(found.toDF("__i0", "__h0", "__starts", "__stops"), "spans")
+        spans = zip(*(part.column(c).to_pylist() for c in ("__starts", "__stops", "__wstarts", "__wstops")))
+        for i, (starts, stops, wstarts, wstops) in enumerate(spans):
+            text = view[off[i] : off[i + 1]]
+            if wstarts:
+                opens, ends = word_bounds(text)
+                starts, stops = starts + opens[wstarts].tolist(), stops + ends[np.array(wstops) - 1].tolist()
+            yield text, merged(starts, stops) if starts else []
+
+
+def _matched(docs: DataFrame, depth: int, *columns: str, words: int | None = None) -> DataFrame:
+    """``doc_id``, the text ``__t`` and ``columns`` of each row of ``docs`` with its stretches as ``__starts`` and ``__stops``, and those of ``words`` words as ``__wstarts`` and ``__wstops``; null where it has none."""
+    found = repeats(docs, depth).withColumn("w", F.lit(False))
+    if words:
+        found = found.union(repeats(docs, words, words=True).withColumn("w", F.lit(True)))
+    lists = [F.collect_list(F.when(F.col("w") == w, F.col(c))) for w in (False, True) for c in ("start", "stop")]
+    spans = durable(found.groupBy(*KEY).agg(*lists).toDF("__i0", "__h0", "__starts", "__stops", "__wstarts", "__wstops"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("__t"))
     both = own.join(spans.hint("shuffle_hash"), (F.col("__i") == F.col("__i0")) & (F.col("__h") == F.col("__h0")), "left")
-    return both.select("doc_id", *columns, "__t", "__starts", "__stops")
+    return both.select("doc_id", *columns, "__t", "__starts", "__stops", "__wstarts", "__wstops")
 
 
 def cut_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
@@ -329,9 +371,10 @@ def cut_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
     return _matched(docs, depth).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, depth: int = 400, words: int | None = None) -> DataFrame:
     """``docs`` with the repeated stretches cut from ``text`` and ``n_chars``, where there is one, counted anew.
 
+    ``words`` adds the stretches covered by that many words in a row that stand elsewhere too, however short they are in bytes.
     A character that a stretch covers in part stays whole. No row goes; one whose whole text repeats has an empty text left.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -342,7 +385,7 @@ def without_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=["doc_id", *rest, "text"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    cut = _matched(docs, depth, *rest).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *rest)) + ", text string")
+    cut = _matched(docs, depth, *rest, words=words).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *rest)) + ", text string")
     if "n_chars" in rest:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

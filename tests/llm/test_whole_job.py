@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from .test_llm import documents, words
+from .test_llm import brute_cut, documents, words
 
 
 def five(text):
@@ -33,3 +33,38 @@ def test_stage_drops_near_copies(spark, sf_dir):
         assert any(j != i and (near(sets[i], sets[j]) if sets[i] else not sets[j]) for j in texts)
     if not sf_dir:
         assert left == {0, len(changed) + 1, len(changed) + 2, len(changed) + 3}
+
+
+@pytest.mark.parametrize("sf_dir", [None, "/root/testdata/sf0.001"])
+def test_stage_cuts_passages_of_over_50_words(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    short = lambda n: " ".join("".join(rng.choices("abcdefgé", k=rng.randint(2, 4))) for _ in range(n))
+    passage, fifty = short(51), short(50)
+    assert len(passage.encode()) < 400
+    long_ = "".join(rng.choices("xyz", k=450))
+    mine = [f"{short(30)} {passage} {short(20)}", f"{short(9)} {passage.replace(' ', chr(10))}", f"{short(30)} {fifty} {short(4)}", f"{fifty} {short(9)}", f"a {long_} b", f"c {long_} d", None, "", f"{passage[:-1]} {short(60)}"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if sf_dir else documents(spark, mine)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.text or "" for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    split = {i: t.encode().split() for i, t in texts.items()}
+    seen = {}
+    for i, w in split.items():
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), []).append((i, k))
+    gone = {i: set() for i in split}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                gone[i].update(range(k, k + 51))
+    cut = brute_cut(list(texts.values()))
+    for n, i in enumerate(texts):
+        left = [w for k, w in enumerate(split[i]) if k not in gone[i]]
+        if not cut[n][1]:  # no bytes go by the other rule
+            assert got[i].encode().split() == left
+        else:
+            assert len(got[i].encode().split()) <= len(left) + 2
+    if not sf_dir:
+        assert passage not in got[0] and passage.split()[9] + chr(10) not in got[1] and fifty in got[2] and fifty in got[3]
+        assert long_ not in got[4] and got[8] == texts[8]

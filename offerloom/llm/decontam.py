@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates: a question with other numbers, names or units is still that question.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number turn into typed places. Every
-window of ``window`` template words of every document is looked up in a hash table of the benchmark's windows. Hits that lie on one
-diagonal of a document and an item are put together, and the values that fill the places on both sides are held against each
+window of ``window`` template words of every document is looked up in a hash table of the benchmark's windows. Hits that lie on
+neighbouring diagonals of a document and an item are put together, and the values that fill the places on both sides are held against each
 other: one item value must always have become the same document value.
 
 The table is broadcast, so the benchmark is taken in parts of bounded size, each held against all documents.
@@ -11,7 +11,9 @@ The table is broadcast, so the benchmark is taken in parts of bounded size, each
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,125 +54,204 @@ class Codes(dict):
         return code
 
 
-def template(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template words, whether each is a literal, and the places in ``codes`` they stand for. ``first`` marks texts' first tokens."""
+def template(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Template words ``(words, literal, opens, start, end)``: the words, whether each is a literal, whether it may be a name as well
+    (a capitalised one where a sentence starts), and the ``codes`` it stands for. ``first`` marks texts' first tokens.
+
+    Names in a row are one place, and so are numbers.
+    """
     kind = codes & KIND
     stop = kind == STOP
-    opens = first | np.concatenate(([False], stop[:-1]))
+    starts = first | np.concatenate(([False], stop[:-1]))
     number_before = np.concatenate(([False], kind[:-1] == NUMBER)) & ~first
     place = np.zeros(len(codes), np.int64)
-    place[(kind == CAPITAL) & ~opens] = 1
+    place[(kind == CAPITAL) & ~starts] = 1
     place[kind == NUMBER] = 2
     place[(kind == UNIT) & number_before] = 3
     word = np.where(place > 0, PLACES[place], codes | KIND)
-    keep = np.flatnonzero(~stop)
-    return word[keep], place[keep] == 0, keep
+    goes_on = np.concatenate(([False], (place[1:] == place[:-1]) & ((place[1:] == 1) | (place[1:] == 2)) & ~first[1:])) if len(codes) else stop
+    keep = np.flatnonzero(~stop & ~goes_on)
+    new = np.append(np.flatnonzero(~goes_on), len(codes))
+    return word[keep], place[keep] == 0, ((kind == CAPITAL) & starts)[keep], keep, new[np.searchsorted(new, keep, "right")] if len(keep) else keep
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(32))
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` words in a row, to be mixed: it is linear in the words."""
     n = len(words) - size + 1
     h = np.zeros(max(n, 0), np.uint64)
     for j in range(size if n > 0 else 0):
         h = h * BASE + words[j : j + n]
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
+    return h
 
 
-def literal_enough(literal: np.ndarray, size: int, least: int) -> np.ndarray:
+def forms(words: np.ndarray, literal: np.ndarray, opens: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, hash)`` of each window, with the words that may be names taken as literals and as names, by turns; ``least`` literals stay."""
+    h = windows(words, size)
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64), h
     total = np.concatenate(([0], np.cumsum(literal)))
-    return total[size:] - total[:-size] >= least if len(literal) >= size else np.zeros(0, bool)
+    enough = total[size:] - total[:-size]
+    mask = np.zeros(n, np.int64)
+    first = np.flatnonzero(opens)
+    for j in range(size):
+        mask[(at := first - j)[(at >= 0) & (at < n)]] |= 1 << j
+    some = np.flatnonzero(enough >= least)
+    places, hashes = [some], [h[some]]
+    both = some[(mask[some] > 0) & (enough[some] > least)]
+    order = both[np.argsort(mask[both], kind="stable")]
+    for at in np.split(order, np.flatnonzero(np.diff(mask[order])) + 1) if len(order) else []:
+        whole = int(mask[at[0]])
+        sub = whole
+        while sub:
+            own = at[enough[at] - sub.bit_count() >= least]
+            if len(own):
+                x = h[own]
+                for j in (j for j in range(size) if sub >> j & 1):
+                    x = x + (PLACES[1] - words[own + j]) * np.uint64(pow(int(BASE), size - 1 - j, 1 << 64))
+                places.append(own)
+                hashes.append(x)
+            sub = (sub - 1) & whole
+    return np.concatenate(places), mixed(np.concatenate(hashes))
 
 
 class Index:
-    """The windows of one part of the benchmark, by hash, and the tokens of its items."""
+    """The windows of one part of the benchmark, by hash: those of templates (True) and those of the items' own tokens (False)."""
 
     def __init__(self, items: pd.DataFrame, window: int, least: int):
-        codes, self.items, self.tokens, self.size = Codes(), [], [], []
-        by_size: dict[int, list] = {}
+        codes, self.items, self.size, self.slots, self.spans, self.words = Codes(), [], [], [], [], []
+        by_size: dict[tuple[bool, int], list] = {}
         for item, text in zip(items["item_id"].tolist(), items["text"].tolist()):
             tokens = TOKEN.findall(text or "")
-            if not tokens:
-                continue
             code = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
-            words, literal, keep = template(code, np.arange(len(code)) == 0)
+            own = np.flatnonzero((code & KIND) != STOP)
+            if not len(own):
+                continue
+            words, literal, opens, start, end = template(code, np.arange(len(code)) == 0)
             size = min(window, len(words))
-            ok = np.flatnonzero(literal_enough(literal, size, least)) if size >= least else np.zeros(0, int)
-            if len(ok):
-                by_size.setdefault(size, []).append((windows(words, size)[ok], np.full(len(ok), len(self.items)), ok))
-                if code[0] & KIND == CAPITAL and ok[0] == 0:  # within a document's sentence the item's first word looks like a name
-                    inside = np.concatenate((PLACES[1:2], words[1:size]))
-                    by_size[size].append((windows(inside, size), np.full(1, len(self.items)), np.zeros(1, int)))
-                self.items.append(item)
-                self.size.append(len(words))
-                self.tokens.append([tokens[i] if p else None for i, p in zip(keep, ~literal)])
+            at, h = forms(words, literal, opens, size, least)
+            by_size.setdefault((True, size), []).append((h, np.full(len(h), len(self.items)), at))
+            number = np.searchsorted(own, start)
+            self.items.append(item)
+            self.size.append(len(own))
+            self.spans.append((number, number + end - start))
+            self.words.append((words, opens | (words == PLACES[1])))
+            self.slots.append([" ".join(tokens[x:y]).lower() if p else None for x, y, p in zip(start, end, ~literal | opens)])
         self.by_size = {}
-        for size, found in by_size.items():
+        for key, found in by_size.items():
             h, item, at = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(h, kind="stable")
             table = np.zeros(1 << TABLE_BITS, bool)
             table[h >> np.uint64(64 - TABLE_BITS)] = True
-            self.by_size[size] = (h[order], item[order], at[order], np.packbits(table))
+            self.by_size[key] = (h[order], item[order], at[order], np.packbits(table))
 
 
 def search(index: Index, texts: list[str | None], least: int, enough: int, codes: Codes) -> list[tuple]:
     """``(number of the text, item, words of the item, words matched, kind)`` for each leak in ``texts``."""
     found = [TOKEN.findall(t) if t else [] for t in texts]
     length = np.array([len(x) for x in found])
-    code = np.fromiter((codes[t] for x in found for t in x), np.uint64, int(length.sum()))
+    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), np.uint64, int(length.sum()))
     if len(codes) > 200_000:
         codes.clear()
     text = np.repeat(np.arange(len(texts)), length)
-    words, literal, keep = template(code, np.concatenate(([True], text[1:] != text[:-1]))[: len(code)])
-    text = text[keep]
-    begin = np.searchsorted(text, np.arange(len(texts)))
-    out = []
-    for size, (h, item, at, table) in index.by_size.items():
-        own = windows(words, size)
-        place = own >> np.uint64(64 - TABLE_BITS)
-        maybe = np.flatnonzero((table[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1)
-        maybe = maybe[(text[maybe] == text[maybe + size - 1]) & literal_enough(literal, size, least)[maybe]]
-        low, high = np.searchsorted(h, own[maybe], "left"), np.searchsorted(h, own[maybe], "right")
+    begin = np.cumsum(length) - length
+    stop = (code & KIND) == STOP
+    own = np.flatnonzero(~stop)
+    number = np.cumsum(~stop) - 1
+    words, literal, opens, start, end = template(code, np.concatenate(([True], text[1:] != text[:-1]))[: len(code)])
+    name = opens | (words == PLACES[1])
+    hits: dict[tuple[int, int], list[tuple]] = {}
+    for (by_template, size), (h, item, at, table) in index.by_size.items():
+        of = text[start] if by_template else text[own]
+        if by_template:
+            pos, x = forms(words, literal, opens, size, least)
+        else:
+            x = mixed(windows(code[own] | KIND, size))
+            pos = np.arange(len(x))
+        cell = x >> np.uint64(64 - TABLE_BITS)
+        maybe = np.flatnonzero((table[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1)
+        pos, x = pos[maybe], x[maybe]
+        inside = of[pos] == of[pos + size - 1]
+        pos, x = pos[inside], x[inside]
+        low, high = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
         n = high - low
-        pos = np.repeat(maybe, n)
-        if not len(pos):
-            continue
+        pos = np.repeat(pos, n)
         entry = np.repeat(low, n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
-        which, m, q = text[pos], item[entry], at[entry]
-        diagonal = pos - begin[which] - q
-        order = np.lexsort((q, diagonal, m, which))
-        which, m, q, diagonal = which[order], m[order], q[order], diagonal[order]
-        new = np.concatenate(([True], (which[1:] != which[:-1]) | (m[1:] != m[:-1]) | (diagonal[1:] != diagonal[:-1])))
-        start = np.flatnonzero(new)
-        step = np.minimum(np.append(np.diff(q), size), size)
-        step[np.append(start[1:], len(q)) - 1] = size
-        covered = np.add.reduceat(step, start)
-        for s, e, c in zip(start.tolist(), np.append(start[1:], len(q)).tolist(), covered.tolist()):
-            i, d, k = int(m[s]), int(diagonal[s]), int(which[s])
-            if c < min(enough, index.size[i]):
+        for k, m, p, q in zip(of[pos].tolist(), item[entry].tolist(), pos.tolist(), at[entry].tolist()):
+            hits.setdefault((k, m), []).append((by_template, size, p, q))
+
+    def fits(m: int, y: int, p: int) -> bool:
+        own_words, own_names = index.words[m]
+        return bool(own_words[y] == words[p] or (own_names[y] and name[p]))
+
+    out = []
+    for (k, m), own_hits in hits.items():
+        begins, ends = index.spans[m]
+        need = min(enough, index.size[m])
+        placed = sorted({(int(number[start[p]] - begins[q]) if t else p - q, q, p, t, size) for t, size, p, q in own_hits})
+        best = None
+        for group in _neighbours(placed):
+            covered: set[int] = set()
+            slots: dict[int, tuple[str, str]] = {}
+            reached: dict[int, set[int]] = {}
+            for _, q, p, t, size in group:
+                if not t:
+                    covered.update(range(q, q + size))
+                    continue
+                done = reached.setdefault(p - q, set())
+                done.update(range(q, q + size))
+                for y, step in ((q - 1, -1), (q + size, 1)):  # words beyond the window that match as well
+                    while 0 <= y < len(begins) and y not in done and 0 <= p - q + y < len(words) and text[start[p - q + y]] == k and fits(m, y, p - q + y):
+                        done.add(y)
+                        y += step
+            for shift, done in reached.items():
+                for y in sorted(done):
+                    was = index.slots[m][y]
+                    covered.update(range(int(begins[y]), int(ends[y])))
+                    if was is not None and int(begins[y]) not in slots:
+                        tokens = found[k][int(start[shift + y] - begin[k]) : int(end[shift + y] - begin[k])]
+                        slots[int(begins[y])] = (was, " ".join(tokens).lower())
+            if len(covered) < need:
                 continue
-            slots = {x + y for x in q[s:e].tolist() for y in range(size) if index.tokens[i][x + y] is not None}
-            became: dict[str, str] = {}
-            fits, same = True, True
-            for x in slots:
-                was = index.tokens[i][x]
-                now = found[k][int(keep[begin[k] + d + x]) - int(length[:k].sum())]
-                fits &= became.setdefault(was, now) == now
-                same &= was == now
-            if fits:
-                out.append((k, index.items[i], index.size[i], c, "verbatim" if same else "changed"))
-    best: dict[tuple, tuple] = {}
-    for x in out:
-        if x[:2] not in best or (x[3], x[4]) > (best[x[:2]][3], best[x[:2]][4]):
-            best[x[:2]] = x
-    return list(best.values())
+            odd = strays(slots)
+            matched = len(covered) - odd
+            if odd == 0:
+                x = (matched, "verbatim" if all(was == now for was, now in slots.values()) else "changed")
+                best = x if best is None else max(best, x)
+        if best:
+            out.append((k, index.items[m], index.size[m], *best))
+    return out
+
+
+def strays(slots: dict[int, tuple[str, str]]) -> int:
+    """How many places hold another value than the one that most often stands for theirs."""
+    became: dict[str, Counter] = {}
+    for was, now in slots.values():
+        became.setdefault(was, Counter())[now] += 1
+    return len(slots) - sum(max(c.values()) for c in became.values())
+
+
+def _neighbours(placed: list[tuple], reach: int = 4) -> Iterator[list[tuple]]:
+    """Hits, sorted by diagonal, in groups of diagonals of which each is within ``reach`` of the next."""
+    at = 0
+    for i in range(1, len(placed) + 1):
+        if i == len(placed) or placed[i][0] - placed[i - 1][0] > reach:
+            yield placed[at:i]
+            at = i
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, enough: int = 13, part_chars: int = 8_000_000) -> DataFrame:
     """``doc_id, item_id, n_item, n_matched, kind`` for each document and item of which it holds a passage.
 
-    A passage is ``enough`` template words of the item, or all of a shorter one, on one diagonal, covered by windows of ``window``
-    words (or the whole shorter item) that match with at least ``least`` literal words each. ``kind`` is ``verbatim`` if the places hold the
+    A passage is ``enough`` words of the item, or all of a shorter one, on neighbouring diagonals. It is found by windows of ``window`` template
+    words (or the whole shorter item) that match with at least ``least`` literal words each, and goes on as far as the words beyond match.
+    A capitalised word where a sentence starts is taken as a word and as a name; names in a row are one place, and so are numbers. ``kind`` is ``verbatim`` if the places hold the
     item's own values and ``changed`` if others that follow from them one to one. Items with fewer than ``least`` literal words in any
     window can't be told from chance and match nothing. Null and empty texts match nothing; rows that repeat each count, a ``doc_id`` that is
     null stays null; an empty table on either side gives none. The longest match of a document and an item is reported, on ties the verbatim one.

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from offerloom.llm import decontam
+
 from .test_llm import brute_cut, documents, words
 
 
@@ -68,3 +70,20 @@ def test_stage_cuts_passages_of_over_50_words(spark, sf_dir):
     if not sf_dir:
         assert passage not in got[0] and passage.split()[9] + chr(10) not in got[1] and fifty in got[2] and fifty in got[3]
         assert long_ not in got[4] and got[8] == texts[8]
+
+
+def leaked(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id, r.kind) for r in decontam.leaks(documents(spark, texts), bench).collect()}
+
+
+def test_names_at_sentence_starts(spark):
+    rng = random.Random(13)
+    tom = "Tom has 5 apples. Tom gives 2 to Ann. How many apples does Tom have?"
+    trip = "every morning the old bus of Ann carries 25 people from the harbour to the market and then goes back for the mail"
+    texts = [
+        f"{words(rng, 30)}. Lily has 7 apples. Lily gives 3 to Ann. How many apples does Lily have? {words(rng, 9)}",
+        f"{words(rng, 9)} {trip.replace('Ann', 'Mary Ann').replace('25', 'twenty-five')} {words(rng, 9)}",
+        "Lily has a cat. How many dogs does Ann have? Tom went home.",
+    ]
+    assert leaked(spark, [tom, trip], texts) == {(0, 0, "changed"), (1, 1, "changed")}

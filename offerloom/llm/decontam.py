@@ -221,7 +221,7 @@ def search(index: Index, texts: list[str | None], least: int, enough: int, codes
                 continue
             odd = strays(slots)
             matched = len(covered) - odd
-            if odd == 0:
+            if matched >= need or 2 * odd <= len(slots):
                 x = (matched, "verbatim" if all(was == now for was, now in slots.values()) else "changed")
                 best = x if best is None else max(best, x)
         if best:
@@ -252,8 +252,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
     A passage is ``enough`` words of the item, or all of a shorter one, on neighbouring diagonals. It is found by windows of ``window`` template
     words (or the whole shorter item) that match with at least ``least`` literal words each, and goes on as far as the words beyond match.
     A capitalised word where a sentence starts is taken as a word and as a name; names in a row are one place, and so are numbers. ``kind`` is ``verbatim`` if the places hold the
-    item's own values and ``changed`` if others that follow from them one to one. Items with fewer than ``least`` literal words in any
-    window can't be told from chance and match nothing. Null and empty texts match nothing; rows that repeat each count, a ``doc_id`` that is
+    item's own values (in any case of letters) and ``changed`` otherwise. Places whose value differs from the one that most often stands for theirs
+    don't count as matched; with fewer than ``enough`` words besides, half the places must agree. Null and empty texts match nothing; rows that repeat each count, a ``doc_id`` that is
     null stays null; an empty table on either side gives none. The longest match of a document and an item is reported, on ties the verbatim one.
     """
     spark = docs.sparkSession

@@ -87,3 +87,13 @@ def test_names_at_sentence_starts(spark):
         "Lily has a cat. How many dogs does Ann have? Tom went home.",
     ]
     assert leaked(spark, [tom, trip], texts) == {(0, 0, "changed"), (1, 1, "changed")}
+
+
+def test_one_odd_place_leaves_the_match(spark):
+    rng = random.Random(14)
+    fruit = "Yesterday the boy bought 5 apples and 5 pears at the market near his house"
+    long_ = " ".join(words(rng, 25).split()) + " about 40 people and then " + " ".join(words(rng, 20).split()) + " with 40 people"
+    texts = [f"{words(rng, 9)}. {fruit.replace('5 apples', '7 apples').replace('5 pears', '3 pears')} {words(rng, 9)}", f"{words(rng, 9)} {long_[::-1].replace('04', '14', 1)[::-1]}", f"{words(rng, 9)} {long_[:-9]} 90 people", f"so {'the old man Ann sees the red house by the long river every day'.replace('Ann', 'ANN')}"]
+    items = [fruit, long_, "so the old man Ann sees the red house by the long river every day"]
+    got = leaked(spark, items, texts)
+    assert {(d, i) for d, i, _ in got} == {(0, 0), (1, 1), (2, 1), (3, 2)} and (3, 2, "verbatim") in got

@@ -133,6 +133,9 @@ class Index:
             own = np.flatnonzero((code & KIND) != STOP)
             if not len(own):
                 continue
+            size = min(window, len(own))
+            h = mixed(windows(code[own] | KIND, size))
+            by_size.setdefault((False, size), []).append((h, np.full(len(h), len(self.items)), np.arange(len(h))))
             words, literal, opens, start, end = template(code, np.arange(len(code)) == 0)
             size = min(window, len(words))
             at, h = forms(words, literal, opens, size, least)
@@ -251,7 +254,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
 
     A passage is ``enough`` words of the item, or all of a shorter one, on neighbouring diagonals. It is found by windows of ``window`` template
     words (or the whole shorter item) that match with at least ``least`` literal words each, and goes on as far as the words beyond match.
-    A capitalised word where a sentence starts is taken as a word and as a name; names in a row are one place, and so are numbers. ``kind`` is ``verbatim`` if the places hold the
+    A capitalised word where a sentence starts is taken as a word and as a name; names in a row are one place, and so are numbers.
+    The item's own tokens, ``window`` in a row or all of a shorter item, match too, whatever they are: so copies of items of numbers or names are found. ``kind`` is ``verbatim`` if the places hold the
     item's own values (in any case of letters) and ``changed`` otherwise. Places whose value differs from the one that most often stands for theirs
     don't count as matched; with fewer than ``enough`` words besides, half the places must agree. Null and empty texts match nothing; rows that repeat each count, a ``doc_id`` that is
     null stays null; an empty table on either side gives none. The longest match of a document and an item is reported, on ties the verbatim one.

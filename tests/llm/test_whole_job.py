@@ -97,3 +97,10 @@ def test_one_odd_place_leaves_the_match(spark):
     items = [fruit, long_, "so the old man Ann sees the red house by the long river every day"]
     got = leaked(spark, items, texts)
     assert {(d, i) for d, i, _ in got} == {(0, 0), (1, 1), (2, 1), (3, 2)} and (3, 2, "verbatim") in got
+
+
+def test_copies_of_items_with_few_words(spark):
+    rng = random.Random(15)
+    items = ["Compute 12 + 34 * 56 - 78", "Ann Lee, 3 May 1950; Bob Roe, 7 June 1961; Carl Poe, 11 July 1972; Dora Moe, 2 April 1983", "7 + 8 = 15"]
+    texts = [f"{words(rng, 20)} {i} {words(rng, 9)}" for i in items] + ["Compute 12 + 34 * 56 - 79", "May 1950 and June 1961", "7 + 8 = 16"]
+    assert leaked(spark, items, texts) == {(0, 0, "verbatim"), (1, 1, "verbatim"), (2, 2, "verbatim")}

@@ -7,6 +7,7 @@ for all nodes of a depth at a time. The node where a pre-token ends holds its co
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,7 @@ class Unigram:
         h = np.array([_hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)) for p in pieces], np.uint64)
         order = np.argsort(h)
         self.hash, self.score = h[order], np.array(list(pieces.values()))[order]
+        self.pieces = pieces
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Scores of the pieces with the hashes ``h``, or minus infinity."""
@@ -89,27 +91,44 @@ class Unigram:
         return out.tolist()
 
 
-def pretokens(data: bytes, longest: int) -> list[bytes]:
-    """Runs without white space (space, 09-0D) of UTF-8 bytes; one of over ``longest`` bytes is cut into characters' runs of that size at most."""
-    words = data.split()
-    if any(len(w) > longest for w in words):
-        cut: list[bytes] = []
-        for w in words:
-            while len(w) > longest:
-                at = longest
-                while at > 1 and w[at] & 0xC0 == 0x80:
-                    at -= 1
-                cut.append(w[:at])
-                w = w[at:]
-            cut.append(w)
-        return cut
-    return words
+    def count_long(self, data: bytes, step: int = 65_536) -> int:
+        """The number of tokens of one long word in UTF-8, as in :meth:`counts`, kept apart from the trie.
+
+        It is read ``step`` bytes at a time; of what lies behind only the last scores and characters of a piece's length are held.
+        """
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        longest, pieces = self.longest, self.pieces
+        behind, score, count = "", [0.0], [0]
+        for at in range(0, len(data), step):
+            new = decoder.decode(data[at : at + step], at + step >= len(data))
+            text = behind + (MARK + new if at == 0 else new)
+            for end in range(len(behind) + 1, len(text) + 1):
+                best, fewest = -np.inf, 0
+                base = len(score) - 1
+                for size in range(1, min(longest, len(score), end) + 1):
+                    own = pieces.get(text[end - size : end])
+                    width = 1
+                    if own is None:
+                        if size > 1:
+                            continue
+                        width = len(text[end - 1].encode("utf-8", "surrogatepass"))
+                        own = self.lost * width
+                    value, n = score[base - size + 1] + own, count[base - size + 1] + width
+                    if value > best or (value == best and n < fewest):
+                        best, fewest = value, n
+                score.append(best)
+                count.append(fewest)
+                if len(score) > 4096:
+                    del score[:-longest], count[:-longest]
+            behind = text[-longest:]
+        return count[-1]
 
 
 def count_tokens(docs: DataFrame, model_path: str = MODEL, longest: int = 64, remembered: int = 300_000) -> DataFrame:
     """``doc_id, n_pretokens, n_tokens`` for each row of ``docs``, over its whole text.
 
-    A null or empty text has no tokens. ``remembered`` bounds the pre-tokens whose counts a task keeps; beyond it they are counted anew. The
+    Pre-tokens are runs without white space (space, 09-0D), never cut. Those of over ``longest`` bytes are scored one by one and not
+    remembered. A null or empty text has no tokens. ``remembered`` bounds the pre-tokens whose counts a task keeps; beyond it they are counted anew. The
     vocabulary is read by the driver and sent along: its size is that of the file. Nothing is shuffled. An empty table gives none.
     """
     spark = docs.sparkSession
@@ -120,11 +139,11 @@ def count_tokens(docs: DataFrame, model_path: str = MODEL, longest: int = 64, re
 
         def count(texts: list[list[bytes]]) -> list[int]:
             nonlocal known
-            new = list(set().union(*texts).difference(known))
+            new = [w for w in set().union(*texts).difference(known) if len(w) <= longest]
             for at in range(0, len(new), 20_000):
                 some = new[at : at + 20_000]
                 known.update(zip(some, model.counts([w.decode("utf-8", "replace") for w in some])))
-            out = [sum(map(known.__getitem__, words)) for words in texts]
+            out = [sum(known[w] if len(w) <= longest else model.count_long(w) for w in words) for words in texts]
             if len(known) > remembered:
                 known = {}
             return out
@@ -132,7 +151,7 @@ def count_tokens(docs: DataFrame, model_path: str = MODEL, longest: int = 64, re
         for pdf in batches:
             held, size, pre, total = [], 0, [], []
             for t in pdf["t"]:
-                held.append(pretokens(t or b"", longest))
+                held.append((t or b"").split())
                 size += len(held[-1])
                 if size > 50_000:
                     total += count(held)

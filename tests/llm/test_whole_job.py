@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from offerloom.llm import decontam
+from offerloom.llm import decontam, tokens
 
 from .test_llm import brute_cut, documents, words
 
@@ -104,3 +104,16 @@ def test_copies_of_items_with_few_words(spark):
     items = ["Compute 12 + 34 * 56 - 78", "Ann Lee, 3 May 1950; Bob Roe, 7 June 1961; Carl Poe, 11 July 1972; Dora Moe, 2 April 1983", "7 + 8 = 15"]
     texts = [f"{words(rng, 20)} {i} {words(rng, 9)}" for i in items] + ["Compute 12 + 34 * 56 - 79", "May 1950 and June 1961", "7 + 8 = 16"]
     assert leaked(spark, items, texts) == {(0, 0, "verbatim"), (1, 1, "verbatim"), (2, 2, "verbatim")}
+
+
+def test_long_pretokens_are_whole(spark):
+    rng = random.Random(16)
+    texts = ["the" * 40, "日本語" * 400, "https://example.com/" + "".join(rng.choices("abcdef/?=&é", k=300)), "x" * 100_000, "the cat " + "a" * 70]
+    model = tokens.Unigram(tokens.load_pieces(tokens.MODEL))
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokens.count_tokens(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        if len(t) < 5000:
+            assert got[i] == (len(t.split()), sum(model.counts(t.split())))  # the trie takes words of any length
+    assert got[3][0] == 1
+    for step in (1, 7, 64):
+        assert [model.count_long(t.encode(), step) for t in texts[:3]] == model.counts(texts[:3])

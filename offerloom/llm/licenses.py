@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words, with DataFrame operations only.
 
-Template notices are indexed by their less common words. In each document those of its licence words that are rarest in the
-corpus are looked up; each posting says where the template would start if this word is part of it. Starts on which enough
+Template notices are indexed by their less common words. Each licence word of a document is looked up, and each posting says where the
+template would start if this word is part of it. Starts on which enough
 words of one template agree are candidates, and one is a find only if all the key phrases of its licence stand there too.
 Nothing is dealt over the cluster but the licence words of documents that have some.
 """
@@ -51,13 +51,13 @@ def _phrases() -> list[tuple[tuple[str, ...], int]]:
     return [(words := tuple(p.split()), next(i for i, w in enumerate(words) if w in vocabulary)) for p in listed]
 
 
-def scan(docs: DataFrame, lookups: int = 24, agree: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, agree: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``n_base`` counts the places of all phrases of ``BASE``; ``first_word`` and ``last_word`` are the least and greatest start
     in words (null without one). ``labels`` adds the licences whose notice is found to the labels of the phrases. ``score`` is the
-    share of a found notice's indexed words that agree on its start, the best one's; 0.5 at least with a phrase, else 0. Ties
-    between words equally rare go by the word. A null text counts as an empty one. An empty table gives none.
+    share of a found notice's indexed words that agree on its start, the best one's; 0.5 at least with a phrase, else 0. All
+    licence words of a document vote, however many notices it holds. A null text counts as an empty one. An empty table gives none.
     """
     vocabulary, phrases = _vocabulary(), _phrases()
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
@@ -85,10 +85,6 @@ def scan(docs: DataFrame, lookups: int = 24, agree: float = 0.5) -> DataFrame:
     rows = docs.select("doc_id", found.alias("f")).select(F.monotonically_increasing_id().alias("__row"), "doc_id", "f.*")
     rows = durable(rows, "licence_words")
 
-    counted = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")).groupBy("word").count().collect()  # a row for each licence word at most
-    held = {r["word"]: r["count"] for r in counted}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (held.get(w, 0), w)))}  # rarest first
-    number = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(rank[w]))])
     postings: dict[str, list[tuple[int, int, int]]] = {w: [] for w in vocabulary}
     indexed = []
     for t, (_, notice, _) in enumerate(TEMPLATES):
@@ -119,10 +115,8 @@ def scan(docs: DataFrame, lookups: int = 24, agree: float = 0.5) -> DataFrame:
                 out = F.when(p["phrase"] == k, F.array(*[entry(t, p["start"] - q, 0, 1 << j) for t, q, j in spots])).otherwise(out)
         return out
 
-    rarest = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.element_at(number, h["word"])))), 1, lookups)
-    some = rows.filter(F.size("hits") > 0).withColumn("rarest", rarest)
-    looked = F.filter("hits", lambda h: F.array_contains(F.col("rarest"), F.element_at(number, h["word"])))
-    votes = some.select("__row", F.explode(F.concat(F.flatten(F.transform(looked, voted)), F.flatten(F.transform("places", keyed)))).alias("v")).select("__row", "v.*")
+    some = rows.filter(F.size("hits") > 0)
+    votes = some.select("__row", F.explode(F.concat(F.flatten(F.transform("hits", voted)), F.flatten(F.transform("places", keyed)))).alias("v")).select("__row", "v.*")
     votes = votes.groupBy("__row", "t", "at").agg(F.bit_or("word").alias("word"), F.bit_or("key").alias("key"))
     share = F.bit_count("word").cast("double") / F.element_at(F.array(*[F.lit(float(n)) for n in indexed]), F.col("t") + 1)
     needed = F.element_at(F.array(*[F.lit((1 << len(keys)) - 1) for *_, keys in TEMPLATES]), F.col("t") + 1)
@@ -147,7 +141,7 @@ def _offset(notice: list[str], phrase: list[str]) -> int:
 
 
 def scan_sql(lookups: int = 24, agree: float = 0.5) -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, for documents of ``lookups`` distinct licence words at most; of one with more it looks up the rarest only."""
     vocabulary, phrases = _vocabulary(), _phrases()
     names = [" ".join(words) for words, _ in phrases]
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)

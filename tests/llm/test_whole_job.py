@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from offerloom.llm import decontam, tokens
+from offerloom.llm import decontam, licenses, tokens
 
 from .test_llm import brute_cut, documents, words
 
@@ -117,3 +117,12 @@ def test_long_pretokens_are_whole(spark):
     assert got[3][0] == 1
     for step in (1, 7, 64):
         assert [model.count_long(t.encode(), step) for t in texts[:3]] == model.counts(texts[:3])
+
+
+def test_license_among_many_notices(spark):
+    notices = {label: notice for label, notice, _ in licenses.TEMPLATES}
+    file = " ".join(notices[x] for x in ("bsd", "mit-text", "isc", "mpl-2.0", "cc0-1.0", "mit", "apache-2.0"))
+    common = ["license licensed version public"] * 40 + ["apache"] * 20
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, [file, *common, notices["apache-2.0"]])).collect()}
+    assert set(rows[0].labels.split(",")) >= {"apache-2.0", "bsd", "cc0-1.0", "isc", "mit", "mit-text", "mpl-2.0"} and rows[0].score == 1.0
+    assert "apache-2.0" in rows[len(common) + 1].labels

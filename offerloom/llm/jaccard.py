@@ -2,7 +2,7 @@
 
 Texts with the same set of shingles are one node. A node lies in ``BANDS`` buckets, by ``ROWS`` minimum hashes each; two nodes of
 similarity 0.8 miss each other in all of them once in 300,000 pairs. Neighbours within a bucket are compared first, which puts a large
-group of copies together with few pairs; after that all pairs of a bucket that are not of one group yet are compared.
+group of copies together with few pairs; after that each bucket is searched for links between its groups.
 """
 
 from __future__ import annotations
@@ -57,31 +57,65 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
     return own.mapInPandas(run, f"id {kind}, th long, node long, keys array<long>")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts' shingles have a similarity of ``least`` or more."""
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    if least * max(len(x), len(y)) > min(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``(n, s)``: the set of shingles of each of ``wanted(node)``, once."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"n": pdf["node"], "s": [shingle_set(t, size).tobytes() for t in pdf["t"]]})
 
+    first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("r")).select("node", "r.*")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t"))
+    return durable(texts.join(first, ["id", "th"]).select("node", "t").mapInPandas(sets, "n long, s binary"), "shingles").dropDuplicates(["n"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have a similarity of ``least`` or more."""
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if least * max(len(x), len(y)) <= min(len(x), len(y)) else 0
-                ok.append(both >= least * (len(x) + len(y) - both))
+            ok = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(pdf["sa"], pdf["sb"])]
             yield pdf.loc[ok, ["a", "b"]]
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "th")).alias("r")).select("node", "r.*")
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t"))
-    held = durable(texts.join(first, ["id", "th"]).select("node", "t").mapInPandas(sets, "n long, s binary"), "shingles")
-    held = held.dropDuplicates(["n"])
-    both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return both.mapInPandas(compare, "a long, b long")
 
 
+def _across(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` that join the groups ``c`` within each bucket of ``rest(key, node, c)``; pairs of one group by then are passed over."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, up, out = None, [], {}, []
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for pdf in batches:
+            for k, node, c, s in zip(pdf["key"], pdf["node"], pdf["c"], pdf["s"]):
+                if k != key:
+                    key, held, up = k, [], {}
+                own = np.frombuffer(s, np.uint64)
+                for other, d, theirs in held:
+                    if root(d) != root(c) and _alike(own, theirs, least):
+                        up[root(d)] = root(c)
+                        out.append((other, node))
+                held.append((node, c, own))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            out = []
+
+    with_sets = rest.join(sets.toDF("node", "s"), "node").select("key", "node", "c", "s")
+    return with_sets.repartition("key").sortWithinPartitions("key").mapInPandas(search, "a long, b long")
+
+
 def drop_similar(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without all but one document of each group: the one with the smallest ``doc_id`` stays.
 
@@ -94,16 +128,15 @@ def drop_similar(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFram
     shared = spread.withColumn("n", F.count("*").over(by)).withColumn("before", F.lag("node").over(by.orderBy("node"))).filter("n > 1")
     shared = durable(shared, "buckets")
     chain = durable(shared.filter("before IS NOT NULL").select(F.col("before").alias("a"), F.col("node").alias("b")).distinct(), "chain")
-    links = durable(_similar(chain, nodes, docs, size, least), "links")
+    sets = _sets(shared.select("node").distinct(), nodes, docs, size)
+    links = durable(_similar(chain, sets, least), "links")
 
     of = durable(components(links), "groups")
     rest = shared.filter("n > 2").join(of, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
     rest = durable(rest.join(split, "key", "left_semi"), "split")
-    pairs = rest.toDF("key", "a", "ca").join(rest.toDF("key", "b", "cb"), "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    pairs = durable(pairs.join(chain, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(durable(_similar(pairs, nodes, docs, size, least), "links2"))
+    if not rest.isEmpty():
+        links = links.union(durable(_across(rest, sets, least), "links2"))
         of = durable(components(links), "groups")
 
     named = durable(nodes.join(of, "node", "left").select("id", "th", F.coalesce("component", "node").alias("c")), "members")

@@ -13,27 +13,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, components, durable
+from .common import Scratch, components, durable, without_rows
 
 FANOUT = 4
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingles(data: bytes | None, size: int) -> list[int]:
-    """Hashes of a text's shingles in their order, with repeats."""
+def word_bounds(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word (a run without space, 09-0D) of ``data`` starts and ends."""
+    x = np.frombuffer(data, np.uint8)
+    word = np.concatenate(([False], (x != 32) & ((x < 9) | (x > 13)), [False]))
+    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+
+
+def shingles(data: bytes | None, size: int, step: int = 16_384) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles in their order, with repeats, ``step`` or fewer words at a time."""
     import xxhash
 
-    words = (data or b"").lower().split()
+    data = (data or b"").lower()
     h = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [h(b" ".join(words), 42)] if words else []
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    first = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
-    return [h(joined[s:e], 42) for s, e in zip(first, (ends[size - 1 :] - 1).tolist())]
+    if len(data) <= 4 * step:
+        parts = [data]
+    else:  # a long text is never held as a list of all its words
+        opens, ends = word_bounds(data)
+        last = max(1, len(opens) - size + 1)
+        parts = (data[opens[at] : ends[min(at + step + size - 1, len(opens)) - 1]] for at in range(0, last, step)) if len(opens) else []
+    for part in parts:
+        words = part.split()
+        if len(words) <= size:
+            if words:
+                yield np.array([h(b" ".join(words), 42)], np.uint64)
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        first = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
+        yield np.array([h(joined[s:e], 42) for s, e in zip(first, (ends[size - 1 :] - 1).tolist())], np.uint64)
 
 
 def fingerprint(data: bytes | None, size: int = 3) -> int:
@@ -42,26 +60,28 @@ def fingerprint(data: bytes | None, size: int = 3) -> int:
     A-Z become lower case; words are runs without white space (space, 09-0D); shingles are ``size`` words joined by a space, with
     repeats. Fewer words give one shingle, none (or null) gives zero.
     """
-    hashes = shingles(data, size)
-    if not hashes:
-        return 0
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    values = np.array(hashes, dtype=">u8")
-    for at in range(0, n, 32_768):
-        counts += np.unpackbits(values[at : at + 32_768].view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in shingles(data, size):
+        n += len(hashes)
+        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``(doc_id, fp long)`` for every row of ``docs``; other columns are not read. A null text counts as an empty one."""
+    """``(doc_id, th long, fp long)`` for every row of ``docs``; other columns are not read. A null text counts as an empty one.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = np.array([fingerprint(x, size) for x in pdf["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": found})
+    ``th`` hashes the text: with ``doc_id`` it names a row where ids repeat.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = np.array([fingerprint(x.as_py(), size) for x in part.column("t")], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(found)], names=["doc_id", "th", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t")).mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -85,7 +105,7 @@ def merge(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
             label = up
 
 
-def gray_groups(codes: np.ndarray, group: np.ndarray, radius: int, step: int = 1 << 15) -> np.ndarray:
+def gray_groups(codes: np.ndarray, group: np.ndarray, radius: int, step: int = 1 << 13) -> np.ndarray:
     """Labels of the components that links of at most ``radius`` bits make within each group.
 
     ``codes`` stand in Gray order within contiguous groups. A level's node covers up to ``FANOUT`` nodes of the level below;
@@ -145,12 +165,13 @@ def _paths(parts: int, depth: int, free: list[int], used: tuple[int, ...] = ())
     return out
 
 
-def links(distinct: DataFrame, radius: int = 2, bucket: int = 4096, depth: int = 3) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, bucket: int = 4096, depth: int = 3, held: Scratch | None = None) -> DataFrame:
     """Edges ``(a, b)`` between fingerprints of ``distinct(fp)`` that span the same components as all pairs within ``radius``.
 
     A bucket holds the fingerprints that agree on one block of bits. One with more than ``bucket`` of them is dealt out again on
-    the bits left, ``depth`` times at most; a bucket at the last level shares at least 45 of 64 bits.
+    the bits left, ``depth`` times at most; a bucket at the last level shares at least 45 of 64 bits. ``held`` takes the tables made on the way.
     """
+    held = held or Scratch()
     parts = radius + 1
     paths = _paths(parts, depth, list(range(64)))
     mask = {p: (m if m < 1 << 63 else m - (1 << 64)) for p, m in ((p, sum(1 << x for x in v)) for p, v in paths.items())}
@@ -161,8 +182,8 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = 4096, depth: int =
         if level == depth:
             ready = waiting if ready is None else ready.union(waiting)
             break
-        table = durable(waiting, f"buckets{level}")
-        large = durable(table.groupBy("path", "key").count().filter(F.col("count") > bucket).select("path", "key"), f"large{level}")
+        table = held(waiting, f"buckets{level}")
+        large = held(table.groupBy("path", "key").count().filter(F.col("count") > bucket).select("path", "key"), f"large{level}")
         if large.isEmpty():
             ready = table if ready is None else ready.union(table)
             break
@@ -184,25 +205,37 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = 4096, depth: int =
             linked = np.flatnonzero(label != np.arange(len(label)))
             return pd.DataFrame({"a": codes[linked].view(np.int64), "b": codes[label[linked]].view(np.int64)})
 
-        held: list[pd.DataFrame] = []
+        kept: list[pd.DataFrame] = []
         n = 0
         for pdf in batches:
-            held.append(pdf)
+            kept.append(pdf)
             n += len(pdf)
-            if n >= 8 * bucket:
-                rows = pd.concat(held, ignore_index=True)
+            if n >= 2 * bucket:
+                rows = pd.concat(kept, ignore_index=True)
                 last = rows.iloc[-1]
                 tail = ((rows["path"] == last["path"]) & (rows["key"] == last["key"])).to_numpy()
                 cut = n - int(tail.sum())  # the rows are sorted by bucket
                 if cut:
                     yield flush(rows.iloc[:cut])
-                held, n = [rows.iloc[cut:]], n - cut
+                kept, n = [rows.iloc[cut:]], n - cut
         if n:
-            yield flush(pd.concat(held, ignore_index=True))
+            yield flush(pd.concat(kept, ignore_index=True))
 
     return ready.repartition("path", "key").sortWithinPartitions("path", "key").mapInPandas(search, "a long, b long")
 
 
+def _grouped(docs: DataFrame, size: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """``fingerprints`` as a written table, and ``(fp, component)`` of each distinct one as another."""
+    held = Scratch()
+    fps = durable(fingerprints(docs, size), "fingerprints")
+    distinct = held(fps.select("fp").distinct(), "distinct")
+    of = components(links(distinct, radius, bucket, held=held))
+    named = distinct.join(of, distinct["fp"] == of["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    named = durable(named, "named")
+    held.drop()
+    return fps, named
+
+
 def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, bucket: int = 4096) -> DataFrame:
     """``(doc_id, fp long, component_id)`` for every row of ``docs``.
 
@@ -211,21 +244,23 @@ def simhash_groups(docs: DataFrame, size: int = 3, radius: int = 2, bucket: int
     fingerprint zero and links like any other. Rows with a null ``doc_id`` keep their row; they count for no minimum, and their
     component is null where no other document is in it. Rows that repeat a ``doc_id`` each get a row. An empty table gives none.
     """
-    fps = durable(fingerprints(docs, size), "fingerprints")
-    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    of = components(links(nodes.select("fp"), radius, bucket))
-    named = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    named = durable(named, "named")
-    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = durable(named.join(low, "component").select("fp", "component_id"), "by_fp")
+    fps, named = _grouped(docs, size, radius, bucket)
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low")).join(named, "fp")
+    first = low.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_fp = durable(named.join(first, "component").select("fp", "component_id"), "by_fp")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without all but one document of each group: the one with the smallest ``doc_id`` stays.
+def drop_near_copies(docs: DataFrame, size: int = 3, radius: int = 2, bucket: int = 4096) -> DataFrame:
+    """``docs`` without all but one row of each group of :func:`simhash_groups`: the one with the smallest ``doc_id``, then text hash, stays.
 
-    Columns are those of ``docs``. Rows that repeat both ``doc_id`` and text are one document. Rows without a ``doc_id`` stay.
+    Columns are those of ``docs``. A row is known by its ``doc_id`` and text, so one that only shares its id with a near copy stays. Of rows
+    equal in both one stays (:func:`common.without_rows`). Rows without a ``doc_id`` stay. Null and empty texts are one group. An
+    empty table gives an empty one.
     """
-    found = simhash_groups(docs, size, radius)
-    gone = durable(found.filter("doc_id <> component_id").select("doc_id"), "gone").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
+    fps, named = _grouped(docs, size, radius, bucket)
+    rows = fps.filter("doc_id IS NOT NULL")
+    low = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("low")).join(named, "fp")
+    first = low.groupBy("component").agg(F.min("low").alias("first")).join(named, "component").select("fp", "first")
+    gone = rows.join(first, "fp").filter(F.struct("doc_id", "th") != F.col("first")).select("doc_id", "th")
+    return without_rows(docs, durable(gone.distinct(), "gone"), rows.groupBy("doc_id", "th").count().filter("count > 1").select("doc_id", "th"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
+from .simhash import word_bounds
 
 GRAM = 128
 #: The same for texts as words
@@ -159,13 +160,6 @@ def coded(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "id0 long, th long, t binary")
 
 
-def word_bounds(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word (a run without space, 09-0D) of ``data`` starts and ends."""
-    x = np.frombuffer(data, np.uint8)
-    word = np.concatenate(([False], (x != 32) & ((x < 9) | (x > 13)), [False]))
-    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
-
-
 def _runs(keys: DataFrame, depth: int, unit: type = np.uint8) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("id0", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("p", pa.int32()), ("b", pa.int32())])
 
@@ -206,7 +200,7 @@ def _twice(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, depth: int = 400, large: int = 16_384, words: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = False) -> DataFrame:
     """Stretches ``(id0, th, start, stop)`` of bytes of ``docs`` covered by a string of ``depth`` bytes that starts elsewhere too.
 
     Overlaps count and so does the same document; matches don't cross documents. Stretches of one document may touch or

@@ -298,6 +298,11 @@ def _cuts(sizes: list[int], most: int) -> Iterator[slice]:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a passage of ``benchmark``; columns stay. Rows without a ``doc_id`` stay."""
-    found = durable(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds a passage of ``benchmark``; columns stay.
+
+    The text alone decides, so a row whose ``doc_id`` is null or stands in another row too goes or stays by its own text. Null and empty texts stay. An
+    empty table on either side leaves ``docs`` as it is.
+    """
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = durable(leaks(texts, benchmark).select(F.col("doc_id").alias("__th")).distinct(), "leaks")
+    return docs.join(found, F.xxhash64(docs["text"]) == found["__th"], "left_anti").select(*docs.columns)

@@ -39,9 +39,9 @@ def shingles(data: bytes | None, size: int, step: int = 16_384) -> Iterator[np.n
     if len(data) <= 4 * step:
         parts = [data]
     else:  # a long text is never held as a list of all its words
-        opens, ends = word_bounds(data)
+        opens, closes = word_bounds(data)
         last = max(1, len(opens) - size + 1)
-        parts = (data[opens[at] : ends[min(at + step + size - 1, len(opens)) - 1]] for at in range(0, last, step)) if len(opens) else []
+        parts = (data[opens[at] : closes[min(at + step + size - 1, len(opens)) - 1]] for at in range(0, last, step)) if len(opens) else []
     for part in parts:
         words = part.split()
         if len(words) <= size:

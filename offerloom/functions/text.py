@@ -114,7 +114,7 @@ def keyword_variations(name: Column, most: int | None = 4) -> Column:
         return F.when(mixed & (F.length(F.array_join(runs, "")) > 3), F.array_join(runs, " "))
 
     listed = F.array(whole, F.when(F.length(bare) > 3, bare), F.when(F.length(ends) > 3, ends), *spellings, plain, script("가-힣"), script("a-zA-Z"))
-    kept = F.array_distinct(F.filter(F.transform(listed, F.trim), lambda x: F.length(x) > 2))
+    kept = F.array_distinct(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: F.length(x) > 2))
     return F.coalesce(kept if most is None else F.slice(kept, 1, most), F.array().cast("array<string>"))
 
 

@@ -215,7 +215,9 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = F
     wide = np.dtype(unit).itemsize
     equal = durable(runs.groupBy("h", "u").agg(F.count("*").alias("n")), "equal")
     groups = equal.groupBy("h").agg(F.sum("n").alias("rows"), F.count("*").alias("k")).filter("rows > 1")
-    shared = durable(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "p", "b", "n", "k"), "runs")
+    # a key is there once, so this makes a row for each run and no more, however often one repeats
+    known = runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"], "left")
+    shared = durable(known.filter("n IS NOT NULL").select("h", "u", *KEY, "a", "p", "b", F.col("n") + 0, F.col("k") + 0).toDF("h", "u", *KEY, "a", "p", "b", "n", "k"), "runs")
     found = shared.filter("n > 1").selectExpr(*KEY, "a AS start", f"a + b + {depth} AS stop")
 
     kinds = shared.filter("k > 1").groupBy("h", "u").agg(F.max("n").alias("n"), F.min(F.struct(*KEY, "a", "p", "b")).alias("r"))

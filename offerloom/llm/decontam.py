@@ -11,19 +11,19 @@ The table is broadcast, so the benchmark is taken in parts of bounded size, each
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
-TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]|[%$€£°]")
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]|[%$€£°]")
 #: Words that are a unit after a number
 UNITS = frozenset("% ° $ € £ mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t oz lb lbs pound pounds ton tons ml l liter liters litre litres ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent cent cents dollar dollars euro euros degree degrees kb mb gb tb hz khz mhz ghz v w kw kwh mph kph kmh".split())
 #: Words that are a number
@@ -90,8 +90,28 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def forms(words: np.ndarray, literal: np.ndarray, opens: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(place, hash)`` of each window, with the words that may be names taken as literals and as names, by turns; ``least`` literals stay."""
+def all_of(ok: np.ndarray, size: int) -> np.ndarray:
+    """Whether all of each ``size`` values in a row hold."""
+    total = np.concatenate(([0], np.cumsum(ok)))
+    return total[size:] - total[:-size] == size
+
+
+class Words:
+    """Which words may occur: a table of bits, so that a word of the set is never denied."""
+
+    def __init__(self, words: np.ndarray):
+        self.bits = np.zeros(1 << TABLE_BITS, bool)
+        self.bits[mixed(words) >> np.uint64(64 - TABLE_BITS)] = True
+
+    def may(self, words: np.ndarray) -> np.ndarray:
+        return self.bits[mixed(words) >> np.uint64(64 - TABLE_BITS)]
+
+
+def forms(words: np.ndarray, literal: np.ndarray, opens: np.ndarray, size: int, least: int, ok: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, hash)`` of each window, with the words that may be names taken as literals and as names, by turns; ``least`` literals stay.
+
+    ``ok`` marks the words that a window may hold; windows with another are passed over.
+    """
     h = windows(words, size)
     n = len(h)
     if not n:
@@ -102,7 +122,7 @@ def forms(words: np.ndarray, literal: np.ndarray, opens: np.ndarray, size: int,
     first = np.flatnonzero(opens)
     for j in range(size):
         mask[(at := first - j)[(at >= 0) & (at < n)]] |= 1 << j
-    some = np.flatnonzero(enough >= least)
+    some = np.flatnonzero(enough >= least if ok is None else (enough >= least) & all_of(ok, size))
     places, hashes = [some], [h[some]]
     both = some[(mask[some] > 0) & (enough[some] > least)]
     order = both[np.argsort(mask[both], kind="stable")]
@@ -146,6 +166,8 @@ class Index:
             self.spans.append((number, number + end - start))
             self.words.append((words, opens | (words == PLACES[1])))
             self.slots.append([" ".join(tokens[x:y]).lower() if p else None for x, y, p in zip(start, end, ~literal | opens)])
+        own = [x | int(KIND) for x in codes.values()]
+        self.vocabulary = Words(np.array(own or [0], np.uint64))
         self.by_size = {}
         for key, found in by_size.items():
             h, item, at = (np.concatenate(x) for x in zip(*found))
@@ -169,14 +191,19 @@ def search(index: Index, texts: list[str | None], least: int, enough: int, codes
     number = np.cumsum(~stop) - 1
     words, literal, opens, start, end = template(code, np.concatenate(([True], text[1:] != text[:-1]))[: len(code)])
     name = opens | (words == PLACES[1])
+    tokens = code[own] | KIND
+    # only windows of words that the benchmark has can match; a place, or a word that may be a name, always can
+    ok_words, ok_tokens = index.vocabulary.may(words) | ~literal | opens, index.vocabulary.may(tokens)
     hits: dict[tuple[int, int], list[tuple]] = {}
     for (by_template, size), (h, item, at, table) in index.by_size.items():
         of = text[start] if by_template else text[own]
         if by_template:
-            pos, x = forms(words, literal, opens, size, least)
+            pos, x = forms(words, literal, opens, size, least, ok_words)
+        elif len(tokens) < size:
+            continue
         else:
-            x = mixed(windows(code[own] | KIND, size))
-            pos = np.arange(len(x))
+            pos = np.flatnonzero(all_of(ok_tokens, size))
+            x = mixed(windows(tokens, size)[pos])
         cell = x >> np.uint64(64 - TABLE_BITS)
         maybe = np.flatnonzero((table[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1)
         pos, x = pos[maybe], x[maybe]

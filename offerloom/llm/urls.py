@@ -1,10 +1,13 @@
 """URL filtering by explicit rules and, where none fits, by a tree of path templates, with DataFrame operations only.
 
-Paths of one host form a tree. A segment that holds a digit is a wildcard; so is a level where the pages under one parent have
-nearly as many different segments as there are pages. What the rules decide labels the pages they fit. Sibling branches whose
-labels lean the same way, by a test of their share, are merged and counted together. A template is rejected if the smoothed
-share of blocked pages in its merged branch is high. A template without labels asks the nearest branch above it, but not the
-host's root: labels of one branch say nothing about its siblings.
+The paths of a host form a tree of segments, however deep. A level is variable where the pages under one parent have nearly as many different
+segments as there are pages, on the host itself or on all hosts that have such a parent: its segments become wildcards, and the tree is
+looked at again, since branches that fall together have more pages. What the rules decide labels the pages they fit. Sibling branches of a host whose
+share of blocked pages can't be told from their parent's by a test are one branch, those above it another, and those below it a third.
+
+A template's purity is the share of blocked pages in its branch, smoothed towards that of the same template on all hosts of the top-level
+domain, which is smoothed towards that on all hosts, and that towards the share of all labelled pages. Each counts at the deepest place of the path that has labels.
+So a page without rule is judged by branches of its own host where there are labels, and by like templates elsewhere where there are none.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch, durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path prefix)
@@ -27,7 +30,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
-    """The longest rule that fits (ties: the first by text) and its verdict; null where none does."""
+    """The longest rule that fits (ties: the last by text) and its verdict; null where none does."""
     rule = verdict = F.lit(None).cast("string")
     for says, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         at, _, under = text.partition("/")
@@ -36,68 +39,98 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
     return rule, verdict
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, depth: int = 3, kids: int = 8, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> DataFrame:
-    """One row per row of ``pages``: ``page_id, host, path, rule, verdict, template, purity``.
+def _levels(paths: DataFrame) -> DataFrame:
+    """``(host, raw, k, parent, child, n)``: each segment of each template ``t``, with what stands before it; ``k`` counts from 0."""
+    rows = paths.select("host", "raw", "n", "t", F.posexplode("t").alias("k", "child"))
+    return rows.select("host", "raw", "k", F.array_join(F.slice("t", F.lit(1), F.col("k")), "/").alias("parent"), "child", "n")
+
+
+def _variable(levels: DataFrame, keys: list[str], kids: int) -> DataFrame:
+    """The parents ``keys`` under which at least ``kids`` different segments stand, and half as many as there are pages."""
+    children = levels.groupBy(*keys, "child").agg(F.sum("n").alias("n"))
+    return children.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") >= kids) & (F.col("c") * 2 >= F.col("n"))).select(*keys)
+
+
+def templates(paths: DataFrame, kids: int, rounds: int, held: Scratch) -> DataFrame:
+    """``paths(host, raw, n, b, m, t)`` with the variable segments of ``t`` as ``*``."""
+    for _ in range(rounds):
+        levels = held(_levels(paths), "levels")
+        own = _variable(levels, ["host", "parent"], kids).withColumn("own", F.lit(True))
+        shared = _variable(levels, ["parent"], kids).withColumn("shared", F.lit(True))
+        marked = levels.join(own, ["host", "parent"], "left").join(shared, "parent", "left")
+        word = F.when(F.col("own").isNotNull() | F.col("shared").isNotNull(), "*").otherwise(F.col("child"))
+        new = marked.groupBy("host", "raw").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", word.alias("w")))), lambda x: x["w"]).alias("new"))  # a path's segments
+        joined = paths.join(new, ["host", "raw"], "left")
+        paths = held(joined.select("host", "raw", "n", "b", "m", F.coalesce("new", "t").alias("t")), "templates")
+    return paths
+
 
-    ``verdict`` is the rule's where one fits, else ``block`` if ``purity`` reaches ``reject``, else ``allow``; ``purity`` is null
-    where no labelled branch lies above the page. Only ``page_id`` and ``url`` are read. A null url has an empty host and path. An
-    empty table gives none. Statistics cover all pages; a template counts once for each page, repeats included.
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, rounds: int = 3, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> DataFrame:
+    """One row per row of ``pages``: ``page_id, host, path, rule, verdict, template, purity, scope``.
+
+    ``verdict`` is the rule's where one fits, else ``block`` if ``purity`` reaches ``reject``, else ``allow``. ``scope`` says whose labels the purity
+    rests on: ``host``, ``domain`` (its top-level domain) or ``all``. Without any labelled page purity and scope are null. Segments nested in more than ``rounds`` variable
+    levels stay as they are. Only ``page_id`` and ``url`` are read. A null url has an empty host and path. An empty table gives none.
+    Statistics cover all pages; rows that repeat each count. Of rules of one length that fit the last by text wins.
     """
+    held = Scratch()
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = rows.withColumns({"rule": rule, "says": says, "__parts": parts})
-    steps = [f"__g{k}" for k in range(1, depth + 1)]
-    part = lambda k: F.coalesce(F.get("__parts", F.lit(k)), F.lit(""))
-    rows = rows.withColumns({g: F.when(part(k).rlike("[0-9]"), "*").otherwise(part(k)) for k, g in enumerate(steps)}).drop("__parts")
-
-    paths = rows.groupBy("host", *steps).agg(F.count("*").alias("n"), F.count_if(F.col("says") == "block").alias("b"), F.count("says").alias("m"))
-    paths = durable(paths.withColumn("__t0", F.lit("")), "paths")
-    overall = paths.agg(F.sum("b"), F.sum("m")).first()
-    prior = (overall[0] or 0) / overall[1] if overall[1] else 0.0
-    for k, g in enumerate(steps, 1):
-        up, here = f"__t{k - 1}", f"__t{k}"
-        level = paths.filter(F.col(g) != "").groupBy("host", up, g).agg(F.sum("n").alias("n")).groupBy("host", up).agg(((F.count("*") >= kids) & (F.count("*") * 2 >= F.sum("n"))).alias("__wild"))
-        paths = paths.join(level, ["host", up], "left")
-        paths = durable(paths.withColumn(here, F.when(F.col(g) == "", F.col(up)).otherwise(F.concat(up, F.lit("/"), F.when(F.col("__wild"), "*").otherwise(F.col(g))))).drop("__wild"), "level")
-    purity = F.lit(None).cast("double")
-    for k, g in enumerate(steps, 1):
-        up, here = f"__t{k - 1}", f"__t{k}"
-        nodes = paths.filter(F.col(g) != "").groupBy("host", up, here).agg(F.sum("b").alias("nb"), F.sum("m").alias("nm"))
-        rate = (F.col("nb") + 1.0) / (F.col("nm") + 2.0)
-        lean = F.when(rate - 0.5 > z * F.sqrt(rate * (1 - rate) / (F.col("nm") + 3.0)), 1).when(0.5 - rate > z * F.sqrt(rate * (1 - rate) / (F.col("nm") + 3.0)), -1).otherwise(0)
-        nodes = nodes.filter("nm > 0").withColumn("lean", lean)
-        pooled = nodes.groupBy("host", up, "lean").agg(F.sum("nb").alias("pb"), F.sum("nm").alias("pm"))
-        found = nodes.join(pooled, ["host", up, "lean"]).select("host", here, ((F.col("pb") + smooth * prior) / (F.col("pm") + smooth)).alias(f"__p{k}"))
-        paths = paths.join(found, ["host", here], "left")
-        purity = F.when(F.col(g) != "", F.coalesce(F.col(f"__p{k}"), purity)).otherwise(purity)
-    verdicts = paths.select("host", *steps, F.col(f"__t{depth}").alias("template"), purity.alias("purity"))
-    out = rows.join(durable(verdicts, "verdicts"), ["host", *steps])
+    rows = rows.withColumns({"rule": rule, "says": says, "raw": F.array_join(parts, "/")})
+
+    paths = rows.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count_if(F.col("says") == "block").alias("b"), F.count("says").alias("m"))
+    paths = held(paths.withColumn("t", F.filter(F.split("raw", "/"), lambda x: x != "")), "paths")
+    total = paths.agg(F.sum("b"), F.sum("m")).first()
+    prior = F.lit(total[0] / total[1] if total[1] else None).cast("double")
+    paths = templates(paths, kids, rounds, held)
+
+    domain = F.regexp_extract("host", r"([^.:]*)(:[0-9]*)?$", 1)
+    deep = paths.select("host", "raw", "b", "m", domain.alias("domain"), "t", F.explode(F.sequence(F.lit(0), F.size("t"))).alias("k"))
+    node = lambda k: F.array_join(F.slice("t", F.lit(1), k), "/")
+    deep = held(deep.select("host", "raw", "b", "m", "domain", "k", node(F.col("k")).alias("node"), node(F.greatest(F.col("k") - 1, F.lit(0))).alias("up")), "nodes")
+    sums = lambda df, *keys: df.filter("m > 0").groupBy(*keys).agg(F.sum("b").alias("nb"), F.sum("m").alias("nm"))
+
+    # branches of a host: those that can't be told from their parent, those above and those below it
+    own = sums(deep.filter("k > 0"), "host", "up", "node")
+    parent = own.groupBy("host", "up").agg((F.sum("nb") / F.sum("nm")).alias("rate"))
+    gap, width = F.col("nb") / F.col("nm") - F.col("rate"), z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("nm"))
+    own = own.join(parent, ["host", "up"]).withColumn("lean", F.when(gap > width, 1).when(-gap > width, -1).otherwise(0))
+    pooled = own.groupBy("host", "up", "lean").agg(F.sum("nb").alias("hb"), F.sum("nm").alias("hm"))
+    by_host = own.join(pooled, ["host", "up", "lean"]).select("host", "node", "hb", "hm")
+    by_domain = sums(deep.filter("k > 0"), "domain", "node").toDF("domain", "node", "db", "dm")
+    by_all = sums(deep, "node").toDF("node", "ab", "am")
+
+    found = deep.join(by_host, ["host", "node"], "left").join(by_domain, ["domain", "node"], "left").join(by_all, "node", "left")
+    deepest = lambda b, m: F.max_by(F.when(F.col(m) > 0, F.struct(b, m)), F.when(F.col(m) > 0, F.col("k")))
+    last = F.max_by("node", "k").alias("template")
+    found = found.groupBy("host", "raw").agg(deepest("hb", "hm").alias("h"), deepest("db", "dm").alias("d"), deepest("ab", "am").alias("a"), last)
+    toward = lambda b, m, wide: F.when(F.col(m) > 0, (F.col(b) + smooth * wide) / (F.col(m) + smooth)).otherwise(wide)
+    purity = toward("h.hb", "h.hm", toward("d.db", "d.dm", toward("a.ab", "a.am", prior)))
+    scope = F.when(F.col("h").isNotNull(), "host").when(F.col("d").isNotNull(), "domain").when(F.col("a").isNotNull(), "all")
+    verdicts = durable(found.select("host", "raw", F.concat(F.lit("/"), "template").alias("template"), purity.alias("purity"), scope.alias("scope")), "verdicts")
+    held.drop()
     says = F.coalesce("says", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", says.alias("verdict"), "template", "purity")
+    return rows.join(verdicts, ["host", "raw"]).select("page_id", "host", "path", "rule", says.alias("verdict"), "template", "purity", "scope")
 
 
-def judge_sql(rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> str:
-    """The same in DuckDB SQL, three levels deep."""
+def judge_sql(rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, rounds: int = 3, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> str:
+    """The same in DuckDB SQL."""
     listed = ", ".join(f"('{v}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}', '{t}')" for v, t in rules)
-    levels, purity = "", []
-    source = "paths"
-    for k in (1, 2, 3):
-        levels += f"""
-wild{k} AS (SELECT host, t{k - 1}, count(*) >= {kids} AND count(*) * 2 >= sum(n) AS wild
-  FROM (SELECT host, t{k - 1}, g{k}, sum(n) AS n FROM {source} WHERE g{k} <> '' GROUP BY ALL) GROUP BY host, t{k - 1}),
-level{k} AS (SELECT l.*, CASE WHEN g{k} = '' THEN l.t{k - 1} ELSE l.t{k - 1} || '/' || CASE WHEN w.wild THEN '*' ELSE g{k} END END AS t{k}
-  FROM {source} l LEFT JOIN wild{k} w ON l.host = w.host AND l.t{k - 1} = w.t{k - 1}),"""
-        source = f"level{k}"
-    for k in (1, 2, 3):
-        se = f"{z} * sqrt(rate * (1 - rate) / (nm + 3.0::DOUBLE))"
-        levels += f"""
-nodes{k} AS (SELECT *, CASE WHEN rate - 0.5::DOUBLE > {se} THEN 1 WHEN 0.5::DOUBLE - rate > {se} THEN -1 ELSE 0 END AS lean
-  FROM (SELECT host, t{k - 1}, t{k}, sum(b) AS nb, sum(m) AS nm, (sum(b) + 1.0::DOUBLE) / (sum(m) + 2.0::DOUBLE) AS rate
-        FROM level3 WHERE g{k} <> '' GROUP BY host, t{k - 1}, t{k}) WHERE nm > 0),
-purity{k} AS (SELECT host, t{k}, (sum(nb) OVER same + {smooth}::DOUBLE * (SELECT coalesce(sum(b)::DOUBLE / nullif(sum(m), 0), 0) FROM paths)) / (sum(nm) OVER same + {smooth}::DOUBLE) AS p
-  FROM nodes{k} WINDOW same AS (PARTITION BY host, t{k - 1}, lean)),"""
+    steps = ""
+    for r in range(1, rounds + 1):
+        many = f"HAVING count(*) >= {kids} AND count(*) * 2 >= sum(n)"
+        steps += f"""
+e{r} AS (SELECT host, raw, k, array_to_string(t[1:k - 1], '/') AS parent, t[k] AS child, n FROM (SELECT *, unnest(range(1, len(t) + 1)) AS k FROM p{r - 1})),
+o{r} AS (SELECT host, parent FROM (SELECT host, parent, child, sum(n) AS n FROM e{r} GROUP BY ALL) GROUP BY host, parent {many}),
+s{r} AS (SELECT parent FROM (SELECT parent, child, sum(n) AS n FROM e{r} GROUP BY ALL) GROUP BY parent {many}),
+w{r} AS (SELECT e.host, e.raw, list(CASE WHEN o.parent IS NOT NULL OR s.parent IS NOT NULL THEN '*' ELSE child END ORDER BY k) AS t
+  FROM e{r} e LEFT JOIN o{r} o ON o.host = e.host AND o.parent = e.parent LEFT JOIN s{r} s ON s.parent = e.parent GROUP BY e.host, e.raw),
+p{r} AS (SELECT p.host, p.raw, p.n, p.b, p.m, coalesce(w.t, p.t) AS t FROM p{r - 1} p LEFT JOIN w{r} w USING (host, raw)),"""
+    toward = lambda b, m, wide: f"CASE WHEN {m} > 0 THEN ({b} + {smooth}::DOUBLE * {wide}) / ({m} + {smooth}::DOUBLE) ELSE {wide} END"
+    purity = toward("h.b", "h.m", "(" + toward("d.b", "d.m", "(" + toward("a.b", "a.m", "prior") + ")") + ")")
+    deepest = lambda b, m: f"max_by({{'b': {b}, 'm': {m}}}, k) FILTER ({m} > 0)"
     return rf"""
 WITH rules(says, rhost, rpath, rule) AS (VALUES {listed}),
 split AS (
@@ -111,18 +144,23 @@ ruled AS (
                ORDER BY length(r.rule) DESC, r.rule DESC LIMIT 1) AS r,
          list_filter(string_split(p.path, '/'), lambda x: x <> '') AS s
   FROM parts p),
-marked AS (
-  SELECT page_id, host, path, r.rule AS rule, r.says AS says,
-         CASE WHEN regexp_matches(coalesce(s[1], ''), '[0-9]') THEN '*' ELSE coalesce(s[1], '') END AS g1,
-         CASE WHEN regexp_matches(coalesce(s[2], ''), '[0-9]') THEN '*' ELSE coalesce(s[2], '') END AS g2,
-         CASE WHEN regexp_matches(coalesce(s[3], ''), '[0-9]') THEN '*' ELSE coalesce(s[3], '') END AS g3
-  FROM ruled),
-paths AS (
-  SELECT host, g1, g2, g3, '' AS t0, count(*) AS n, count(*) FILTER (says = 'block') AS b, count(says) AS m FROM marked GROUP BY ALL),{levels}
+marked AS (SELECT page_id, host, path, r.rule AS rule, r.says AS says, s, array_to_string(s, '/') AS raw FROM ruled),
+p0 AS (SELECT host, raw, s AS t, count(*) AS n, count(*) FILTER (says = 'block') AS b, count(says) AS m FROM marked GROUP BY ALL),{steps}
+nodes AS (
+  SELECT host, raw, b, m, regexp_extract(host, '([^.:]*)(:[0-9]*)?$', 1) AS domain, k, array_to_string(t[1:k], '/') AS node, array_to_string(t[1:greatest(k - 1, 0)], '/') AS up
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS k FROM p{rounds})),
+own AS (SELECT host, up, node, sum(b) AS nb, sum(m) AS nm FROM nodes WHERE k > 0 AND m > 0 GROUP BY ALL),
+leant AS (
+  SELECT *, CASE WHEN nb / nm - rate > width THEN 1 WHEN rate - nb / nm > width THEN -1 ELSE 0 END AS lean
+  FROM (SELECT *, {z}::DOUBLE * sqrt(rate * (1 - rate) / nm) AS width FROM (SELECT *, sum(nb) OVER (PARTITION BY host, up) / sum(nm) OVER (PARTITION BY host, up) AS rate FROM own))),
+by_host AS (SELECT host, node, sum(nb) OVER same AS hb, sum(nm) OVER same AS hm FROM leant WINDOW same AS (PARTITION BY host, up, lean)),
+by_domain AS (SELECT domain, node, sum(b) AS db, sum(m) AS dm FROM nodes WHERE k > 0 AND m > 0 GROUP BY ALL),
+by_all AS (SELECT node, sum(b) AS ab, sum(m) AS am FROM nodes WHERE m > 0 GROUP BY ALL),
+found AS (
+  SELECT host, raw, {deepest("hb", "hm")} AS h, {deepest("db", "dm")} AS d, {deepest("ab", "am")} AS a, max_by(node, k) AS template
+  FROM nodes LEFT JOIN by_host USING (host, node) LEFT JOIN by_domain USING (domain, node) LEFT JOIN by_all USING (node) GROUP BY host, raw),
 verdicts AS (
-  SELECT l.host, g1, g2, g3, l.t3 AS template,
-         coalesce(CASE WHEN g3 <> '' THEN p3.p END, CASE WHEN g2 <> '' THEN p2.p END, CASE WHEN g1 <> '' THEN p1.p END) AS purity
-  FROM level3 l LEFT JOIN purity1 p1 ON l.host = p1.host AND l.t1 = p1.t1
-  LEFT JOIN purity2 p2 ON l.host = p2.host AND l.t2 = p2.t2 LEFT JOIN purity3 p3 ON l.host = p3.host AND l.t3 = p3.t3)
-SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
-FROM marked JOIN verdicts USING (host, g1, g2, g3)"""
+  SELECT host, raw, '/' || template AS template, {purity} AS purity, CASE WHEN h IS NOT NULL THEN 'host' WHEN d IS NOT NULL THEN 'domain' WHEN a IS NOT NULL THEN 'all' END AS scope
+  FROM found, (SELECT sum(b)::DOUBLE / nullif(sum(m), 0) AS prior FROM p0))
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, purity, scope
+FROM marked JOIN verdicts USING (host, raw)"""

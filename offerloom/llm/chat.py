@@ -30,14 +30,20 @@ def numbered(turns: DataFrame) -> DataFrame:
     return own.select("conv_id", "turn", "speaker", "text", (F.col("__before") + F.col("__own")).alias("pos"))
 
 
-def rotate(conversations: DataFrame, chunk_turns: int = 256) -> DataFrame:
-    """``conv_id, perspective, chunk, n_turns, n_target_turns, rendered, mask``: a row for each participant's view of each stretch.
+def _plain(speaker):
+    """A speaker's name within a mark: one line, without the signs that open and close marks."""
+    return F.translate(F.regexp_replace(speaker, r"[\r\n]+", " "), "<|>", "(!)")
+
+
+def rotate(conversations: DataFrame, chunk_turns: int | None = None) -> DataFrame:
+    """``conv_id, perspective, chunk, n_turns, n_target_turns, rendered, mask``: a row for each participant's view.
 
     A participant is a distinct role but ``system``; a null or empty role is the speaker ``unknown``. In its view its own turns are
     the assistant's, other participants' are users' under their names, and system turns stay. ``mask`` lists the stretches of
     ``rendered`` to learn from, in characters, as ``start-stop`` joined by commas: the speaker's own words and end marks.
-    A view has one row for each ``chunk_turns`` turns, so that no row grows without bound. Marks within a text are
-    defused (``<|`` becomes ``< |``). A null text is an empty one, a null ``conv_id`` one more conversation. A conversation of system turns alone has
+    A view is one row, ``chunk`` 0, however long the talk. ``chunk_turns`` cuts views into rows of that many turns, for talks that outgrow
+    a row; later rows don't repeat what stands before. Marks within a text are
+    defused (``<|`` becomes ``< |``), and the signs ``<|>`` of a name become ``(!)``, its line ends blanks. A null text is an empty one, a null ``conv_id`` one more conversation. A conversation of system turns alone has
     no view. An empty table gives none.
     """
     role = F.col("role").cast("string")
@@ -47,13 +53,13 @@ def rotate(conversations: DataFrame, chunk_turns: int = 256) -> DataFrame:
     views = turns.filter("speaker <> 'system'").select(F.col("conv_id").alias("__c"), F.col("speaker").alias("perspective")).distinct()
     rows = turns.join(views, turns["conv_id"].eqNullSafe(views["__c"])).drop("__c")
     target = F.col("speaker") == F.col("perspective")
-    head = F.when(target, "<|assistant|>\n").when(F.col("speaker") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
-    rows = rows.select("conv_id", "perspective", F.floor(F.col("pos") / chunk_turns).alias("chunk"), "pos", target.alias("target"), head.alias("head"), F.concat("text", F.lit(END)).alias("body"))
+    head = F.when(target, "<|assistant|>\n").when(F.col("speaker") == "system", "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), _plain("speaker"), F.lit("|>\n")))
+    rows = rows.select("conv_id", "perspective", (F.floor(F.col("pos") / chunk_turns) if chunk_turns else F.lit(0).cast("long")).alias("chunk"), "pos", target.alias("target"), head.alias("head"), F.concat("text", F.lit(END)).alias("body"))
     w = W.partitionBy("conv_id", "perspective", "chunk").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.length("head") + F.length("body")).over(w), F.lit(0)) + F.length("head")
     rows = rows.withColumn("span", F.when(F.col("target"), F.concat_ws("-", begin, begin + F.length("body"))))
     part = F.struct("pos", F.concat("head", "body").alias("piece"), "span")
-    got = rows.groupBy("conv_id", "perspective", "chunk").agg(F.array_sort(F.collect_list(part)).alias("p"))  # chunk_turns at most
+    got = rows.groupBy("conv_id", "perspective", "chunk").agg(F.array_sort(F.collect_list(part)).alias("p"))  # the turns of a row
     return got.select(
         "conv_id", "perspective", "chunk", F.size("p").cast("long").alias("n_turns"),
         F.size(F.filter("p", lambda x: x["span"].isNotNull())).cast("long").alias("n_target_turns"),
@@ -62,7 +68,7 @@ def rotate(conversations: DataFrame, chunk_turns: int = 256) -> DataFrame:
     )
 
 
-def rotate_sql(chunk_turns: int = 256) -> str:
+def rotate_sql() -> str:
     """The same in DuckDB SQL."""
     return rf"""
 WITH turns AS (
@@ -71,9 +77,9 @@ WITH turns AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, text) - 1 AS pos FROM turns),
 views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
 pieces AS (
-  SELECT t.conv_id, perspective, pos // {chunk_turns} AS chunk, pos, speaker = perspective AS target,
+  SELECT t.conv_id, perspective, 0::BIGINT AS chunk, pos, speaker = perspective AS target,
          CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) WHEN speaker = 'system' THEN '<|system|>' || chr(10)
-              ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head,
+              ELSE '<|user name=' || translate(regexp_replace(speaker, '[\r\n]+', ' ', 'g'), '<|>', '(!)') || '|>' || chr(10) END AS head,
          text || '<|end|>' || chr(10) AS body
   FROM placed t JOIN views v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
 spans AS (

@@ -140,8 +140,8 @@ def _offset(notice: list[str], phrase: list[str]) -> int:
     return next(i for i in range(len(notice)) if notice[i : i + len(phrase)] == phrase)
 
 
-def scan_sql(lookups: int = 24, agree: float = 0.5) -> str:
-    """The same in DuckDB SQL, for documents of ``lookups`` distinct licence words at most; of one with more it looks up the rarest only."""
+def scan_sql(agree: float = 0.5) -> str:
+    """The same in DuckDB SQL."""
     vocabulary, phrases = _vocabulary(), _phrases()
     names = [" ".join(words) for words, _ in phrases]
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -162,12 +162,8 @@ places AS (
   SELECT DISTINCT w.row, p.phrase, w.pos AS start
   FROM words w JOIN phrases p ON w.word = p.words[1] JOIN docs d ON d.row = w.row
   WHERE d.ws[w.pos + 1 : w.pos + len(p.words)] = p.words),
-df AS (SELECT word, count(DISTINCT row) AS n FROM hits GROUP BY word),
-rarest AS (
-  SELECT row, word FROM (SELECT DISTINCT row, word FROM hits) JOIN df USING (word)
-  QUALIFY row_number() OVER (PARTITION BY row ORDER BY n, word) <= {lookups}),
 votes AS (
-  SELECT row, t, pos - q AS spot, count(DISTINCT q) AS n FROM hits JOIN rarest USING (row, word) JOIN posts USING (word) GROUP BY ALL),
+  SELECT row, t, pos - q AS spot, count(DISTINCT q) AS n FROM hits JOIN posts USING (word) GROUP BY ALL),
 keyed AS (
   SELECT row, t, start - q - d AS spot, count(DISTINCT phrase) AS k
   FROM places JOIN keys USING (phrase), (SELECT unnest(range(-{SLACK}, {SLACK + 1})) AS d) GROUP BY ALL),

@@ -36,7 +36,13 @@ TABLE_BITS = 22
 
 
 class Codes(dict):
-    """A 64-bit code for each token: a hash of its lower case, with its kind in the last bits. Cleared when it grows large."""
+    """A 64-bit code for each token: a hash of its lower case, with its kind in the last bits. Cleared when it grows large.
+
+    With ``known``, lower-case tokens, all others of a kind share a code: nothing is equal to them.
+    """
+
+    def __init__(self, known: frozenset[str] | None = None):
+        self.known = known
 
     def __missing__(self, token: str) -> int:
         import xxhash
@@ -50,6 +56,9 @@ class Codes(dict):
             kind = UNIT
         else:
             kind = CAPITAL if token[0] != low[0] else WORD
+        if self.known is not None and low not in self.known:
+            self[token] = kind
+            return kind
         self[token] = code = (xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7) & ~7) | kind
         return code
 
@@ -166,6 +175,7 @@ class Index:
             self.spans.append((number, number + end - start))
             self.words.append((words, opens | (words == PLACES[1])))
             self.slots.append([" ".join(tokens[x:y]).lower() if p else None for x, y, p in zip(start, end, ~literal | opens)])
+        self.known = frozenset(token.lower() for token in codes)
         own = [x | int(KIND) for x in codes.values()]
         self.vocabulary = Words(np.array(own or [0], np.uint64))
         self.by_size = {}
@@ -298,7 +308,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
         index = spark.sparkContext.broadcast(Index(held, window, least))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            codes = Codes()
+            codes = Codes(index.value.known)
             for pdf in batches:
                 texts, ids = pdf["text"].tolist(), pdf["doc_id"]
                 for at in _cuts([len(t or "") for t in texts], 1_000_000):

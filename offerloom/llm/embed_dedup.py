@@ -21,7 +21,7 @@ from .common import components, durable
 from .simhash import merge
 
 #: Room for rounding where a border is tested; far wider than the error of a sum of products.
-EPS = 1e-9
+EPS = 1e-7
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -30,7 +30,7 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.nd
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = np.argmax(x @ c.T, axis=1)
+        near = np.concatenate([np.argmax(x[at : at + 2048] @ c.T, axis=1) for at in range(0, len(x), 2048)])
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -43,7 +43,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.93, cell: int = 512, block: int = 1024, sample: int = 20_000, max_cells: int = 64) -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.93, cell: int = 512, block: int = 1024, sample: int = 20_000, max_cells: int = 1024) -> DataFrame:
     """One row per row of ``table``: ``vec_id, n_links, component_id, kept``.
 
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is ``threshold`` or more
@@ -78,17 +78,18 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, cell: int = 512,
         for pdf in batches:
             for label, own in pdf.groupby("label"):
                 c = shared.value.get(label)
-                node, x = own["node"].to_numpy(), _unit(own["v"])
                 if c is None or len(c) == 1:
-                    yield pd.DataFrame({"node": node, "label": label, "cell": 0, "home": True})
+                    yield pd.DataFrame({"node": own["node"], "label": label, "cell": 0, "home": True})
                     continue
-                s = x @ c.T
-                home = np.argmax(s, axis=1)
-                gap = s[np.arange(len(s)), home][:, None] - s
-                width = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2)
-                near = (gap <= sine * width + EPS) & (np.arange(len(c))[None, :] > home[:, None])
-                i, j = np.nonzero(near)
-                yield pd.DataFrame({"node": np.concatenate((node, node[i])), "label": label, "cell": np.concatenate((home, j)), "home": np.concatenate((np.ones(len(node), bool), np.zeros(len(i), bool)))})
+                apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))  # the centres are unit vectors
+                for at in range(0, len(own), 1024):
+                    some = own.iloc[at : at + 1024]
+                    node, s = some["node"].to_numpy(), _unit(some["v"]) @ c.T
+                    home = np.argmax(s, axis=1)
+                    gap = s[np.arange(len(s)), home][:, None] - s
+                    near = (gap <= sine * apart[home] + EPS) & (np.arange(len(c))[None, :] > home[:, None])
+                    i, j = np.nonzero(near)
+                    yield pd.DataFrame({"node": np.concatenate((node, node[i])), "label": label, "cell": np.concatenate((home, j)), "home": np.concatenate((np.ones(len(node), bool), np.zeros(len(i), bool)))})
 
     placed = durable(classes.select("node", "label", "v").mapInPandas(assign, "node long, label string, cell int, home boolean"), "cells")
     blocks = placed.filter("home").groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))

@@ -1,7 +1,7 @@
 """Quality by co-training: one classifier reads the text, another its metadata, and each teaches the other.
 
-Both views are logistic regressions fitted on a bounded sample of labelled rows. In each round a view labels the rows of an unlabelled
-pool it is surest of, and those go into the other view's training rows. At the end each view is calibrated on labelled rows held out
+Both views are logistic regressions fitted on a bounded sample of labelled rows. In each round both views score all other documents, and each
+labels the rows it is surest of, which go into the other view's training rows. At the end each view is calibrated on labelled rows held out
 from all of that, and a last regression on both calibrated scores gives the probability that scores every document.
 
 Where the labels say which documents are toxic, a second model of the same form learns that. Its text view counts a document's words
@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Table
@@ -23,7 +23,7 @@ TEXT_EXTRA = 7
 HARM = 3
 #: Lower case, and a blank for each ASCII byte that is no letter
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SOURCES, LANGS, LENGTHS = 64, 16, 24
+LENGTHS = 24
 
 
 def text_view(data: bytes | None) -> np.ndarray:
@@ -54,23 +54,30 @@ def plain_words(data: bytes | None) -> set[bytes]:
 
 
 def harm_view(data: bytes | None, harmful: dict[bytes, float]) -> np.ndarray:
-    """Features of a whole text: how many distinct words are in ``harmful``, their weights' sum, and their share of the distinct words."""
+    """Features of a whole text: how many distinct words are in ``harmful``, the root of their weights' sum, and their share of the distinct words."""
     own = plain_words(data)
     hits = [harmful[w] for w in own & harmful.keys()]
-    return np.array((math.log1p(len(hits)), min(sum(hits), 60.0), len(hits) / max(1, len(own))))
+    return np.array((math.log1p(len(hits)), math.sqrt(max(sum(hits), 0.0)), len(hits) / max(1, len(own))))
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
-    """Features of a page's metadata: its source, language and stated length, each a place for null."""
-    import xxhash
+class Meta:
+    """Places of metadata values: a source and a language that the sample has, others, and null each have one; lengths go by their logarithm."""
 
-    out = np.zeros(SOURCES + LANGS + LENGTHS)
-    place = lambda x, n: 0 if x is None else 1 + xxhash.xxh64_intdigest(str(x), 3) % (n - 1)
-    out[place(source, SOURCES)] = 1
-    out[SOURCES + place(lang, LANGS)] = 1
-    bad = n_chars is None or n_chars != n_chars or n_chars < 0
-    out[SOURCES + LANGS + (0 if bad else min(LENGTHS - 1, 1 + int(math.log1p(n_chars) * 1.5)))] = 1
-    return out
+    def __init__(self, sources: set[str], langs: set[str]):
+        self.sources = {x: 2 + i for i, x in enumerate(sorted(sources))}
+        self.langs = {x: 2 + i for i, x in enumerate(sorted(langs))}
+        self.size = 4 + len(sources) + len(langs) + LENGTHS
+
+    def places(self, source: str | None, lang: str | None, n_chars: float | None) -> tuple[int, int, int]:
+        bad = n_chars is None or n_chars != n_chars or n_chars < 0
+        s = 0 if source is None else self.sources.get(source, 1)
+        g = 0 if lang is None else self.langs.get(lang, 1)
+        return s, 2 + len(self.sources) + g, 4 + len(self.sources) + len(self.langs) + (0 if bad else min(LENGTHS - 1, 1 + int(math.log1p(n_chars) * 1.5)))
+
+    def view(self, places: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(places), self.size))
+        out[np.arange(len(places))[:, None], places] = 1
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,36 +103,35 @@ def logit(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np
     return np.clip(((x - mean) / scale) @ b[:-1] + b[-1], -30, 30)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int = 5, grow: int = 100, sure: float = 0.95, highest: float = 0.5) -> dict | None:
-    """A model of two views from rows labelled 0 or 1 in ``y``, or unlabelled (-1); None where one of the labels is missing.
+class CoTrainer:
+    """Two views that teach each other, from rows labelled 0 or 1 in ``y`` (others are passed over).
 
-    The labelled rows marked in ``held`` are kept for calibration. In each round a view gives the other at most ``grow`` rows of each kind of which
-    it is at least ``sure``. The cut is where at most one in 500 of the held rows labelled 1 fall below it, and ``highest`` at most.
+    The rows marked in ``held`` are kept for calibration. The cut is where at most one in 500 of the held rows labelled 1 fall below it, and ``highest`` at most.
     """
-    base, held = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held)
-    if min(len(set(y[base])), len(set(y[held]))) < 2:
-        return None
-    free = [np.flatnonzero(y < 0)] * 2
-    own = [(base, y[base].astype(float))] * 2
-    models = [None, None]
-    for r in range(rounds + 1):
-        models = [fit_logistic(views[v][own[v][0]], own[v][1]) for v in (0, 1)]
-        if r == rounds:
-            break
-        for v, other in ((0, 1), (1, 0)):
-            if not len(free[other]):
-                continue
-            p = 1 / (1 + np.exp(-logit(models[v], views[v][free[other]])))
-            order = np.argsort(p, kind="stable")
-            low, high = [i for i in order[:grow] if p[i] <= 1 - sure], [i for i in order[::-1][:grow] if p[i] >= sure]
-            rows = free[other][np.array(low + high, int)]
-            own[other] = (np.concatenate((own[other][0], rows)), np.concatenate((own[other][1], np.zeros(len(low)), np.ones(len(high)))))
-            free[other] = np.setdiff1d(free[other], rows)
-    scaled = [fit_logistic(logit(m, x[held])[:, None], y[held]) for m, x in zip(models, views)]
-    both = np.stack([logit(s, logit(m, x[held])[:, None]) for s, m, x in zip(scaled, models, views)], axis=1)
-    last = fit_logistic(both, y[held])
-    good = 1 / (1 + np.exp(-logit(last, both[y[held] == 1])))
-    return {"views": models, "scales": scaled, "last": last, "cut": float(min(highest, np.quantile(good, 0.002)))}
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, held: np.ndarray, sure: float, highest: float):
+        base, self.held = np.flatnonzero((y >= 0) & ~held), np.flatnonzero((y >= 0) & held)
+        self.views, self.y, self.sure, self.highest = views, y, sure, highest
+        self.ready = min(len(set(y[base])), len(set(y[self.held]))) == 2
+        self.rows = [(v[base], y[base].astype(float)) for v in views]
+        self.models: list = []
+
+    def fit(self) -> None:
+        self.models = [fit_logistic(x, y) for x, y in self.rows]
+
+    def learn(self, view: int, x: np.ndarray, label: int) -> None:
+        """Rows for ``view`` that the other one has labelled."""
+        own = self.rows[view]
+        self.rows[view] = (np.concatenate((own[0], x)), np.concatenate((own[1], np.full(len(x), float(label)))))
+
+    def finish(self) -> dict:
+        held, y = self.held, self.y[self.held]
+        scores = [logit(m, x[held])[:, None] for m, x in zip(self.models, self.views)]
+        scaled = [fit_logistic(x, y) for x in scores]
+        both = np.stack([logit(s, x) for s, x in zip(scaled, scores)], axis=1)
+        last = fit_logistic(both, y)
+        good = 1 / (1 + np.exp(-logit(last, both[y == 1])))
+        return {"views": self.models, "scales": scaled, "last": last, "cut": float(min(self.highest, np.quantile(good, 0.002)))}
 
 
 def predict(model: dict | None, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -135,12 +141,13 @@ def predict(model: dict | None, text: np.ndarray, meta: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-logit(model["last"], both)))
 
 
-def _views(texts: pd.Series, sources: pd.Series, langs: pd.Series, sizes: pd.Series, harmful: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _views(texts: pd.Series, sources: pd.Series, langs: pd.Series, sizes: pd.Series, harmful: dict[bytes, float], meta: Meta) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the texts, of their words, and the places of their metadata."""
     none = lambda x: None if x is None or x != x else x
     if not len(texts):
-        return np.zeros((0, 256 + TEXT_EXTRA)), np.zeros((0, HARM)), np.zeros((0, SOURCES + LANGS + LENGTHS))
-    meta = np.stack([meta_view(none(s), none(g), none(n)) for s, g, n in zip(sources, langs, sizes)])
-    return np.stack([text_view(t) for t in texts]), np.stack([harm_view(t, harmful) for t in texts]), meta
+        return np.zeros((0, 256 + TEXT_EXTRA)), np.zeros((0, HARM)), np.zeros((0, 3), np.int32)
+    places = np.array([meta.places(none(s), none(g), none(n)) for s, g, n in zip(sources, langs, sizes)], np.int32)
+    return np.stack([text_view(t) for t in texts]), np.stack([harm_view(t, harmful) for t in texts]), places
 
 
 def _columns(docs: DataFrame) -> list[Column]:
@@ -148,8 +155,8 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [F.col("text").cast("binary"), have("source", "string"), have("lang", "string"), have("n_chars", "double")]
 
 
-def _harmful(sample: DataFrame, words: int, least: float = 20.0) -> dict[bytes, float]:
-    """At most ``words`` words with their log odds: those whose odds between toxic and other labelled rows stand out by ``least`` or more."""
+def _harmful(sample: DataFrame, least: float = 20.0) -> dict[bytes, float]:
+    """Words with their log odds: those whose odds between toxic and other labelled rows stand out by ``least`` or more. The sample bounds them."""
     known = sample.filter("harmless >= 0 and not held")
     sizes = known.agg(F.coalesce(F.sum("harmless"), F.lit(0)).alias("no"), F.count("*").alias("all")).first()
     no, yes = sizes["no"], sizes["all"] - sizes["no"]
@@ -162,53 +169,126 @@ def _harmful(sample: DataFrame, words: int, least: float = 20.0) -> dict[bytes,
     count = known.select("t", "harmless").mapInPandas(split, "word binary, harmless long").groupBy("word").agg(F.sum("harmless").alias("c"), F.sum(1 - F.col("harmless")).alias("a"))
     odds = F.log((F.col("a") + 0.5) / (yes + 1.0) / ((F.col("c") + 0.5) / (no + 1.0)))
     best = count.withColumn("odds", odds).withColumn("g", 2 * F.col("a") * F.col("odds")).filter(F.col("g") >= least)
-    return {bytes(r.word): r.odds for r in best.orderBy(F.desc("g"), "word").limit(words).collect()}
+    return {bytes(r.word): r.odds for r in best.collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, words: int = 1000) -> dict | None:
-    """Co-trained models from at most ``labelled`` rows of ``labels(doc_id, quality, toxic)`` and ``pool`` other documents.
+def _pool(docs: DataFrame, taken: DataFrame, harmful: dict[bytes, float], meta: Meta) -> DataFrame:
+    """``(doc_id, th, x, h, p)``: the features of every document but those of ``taken(doc_id)``, as bytes; ``taken`` is the bounded sample."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), *[c.alias(n) for c, n in zip(_columns(docs), "tsgn")])
+    own = own.filter("doc_id IS NOT NULL").join(F.broadcast(taken), "doc_id", "left_anti")
 
-    Both samples are the rows with the least hash of their ``doc_id``; every fourth labelled one is held out. Null ids and labels are left out; a
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                some = pdf.iloc[at : at + 512]
+                text, harm, places = _views(some["t"], some["s"], some["g"], some["n"], harmful, meta)
+                cells = [[x.tobytes() for x in part] for part in (text.astype(np.float32), harm.astype(np.float32), places)]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "th": some["th"], "x": cells[0], "h": cells[1], "p": cells[2]})
+
+    return own.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, x binary, h binary, p binary")
+
+
+def _unpacked(pdf: pd.DataFrame, meta: Meta) -> dict[str, np.ndarray]:
+    cells = lambda c, kind, n: np.frombuffer(b"".join(pdf[c]), kind).reshape(len(pdf), n)
+    return {"text": cells("x", np.float32, 256 + TEXT_EXTRA).astype(float), "harm": cells("h", np.float32, HARM).astype(float), "meta": meta.view(cells("p", np.int32, 3))}
+
+
+#: What each kind of label is learnt from
+VIEWS = {"good": ("text", "meta"), "harmless": ("harm", "meta")}
+
+
+def _surest(pool: DataFrame, trainers: dict[str, CoTrainer], meta: Meta, grow: int, told: set) -> pd.DataFrame:
+    """Of all rows of ``pool``, the ``grow`` that each view of each trainer is surest of, either way: ``slot`` names kind, teacher and label."""
+    models = {k: (t.models, t.sure) for k, t in trainers.items()}
+    shared = pool.sparkSession.sparkContext.broadcast((models, meta, told))
+
+    def run(batches):
+        models, meta, told = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            views = _unpacked(pdf, meta)
+            out = []
+            for kind, (own, sure) in models.items():
+                for v in (0, 1):
+                    p = np.round(1 / (1 + np.exp(-logit(own[v], views[VIEWS[kind][v]]))), 9)
+                    for label, far in ((0, p), (1, 1 - p)):
+                        slot = f"{kind}:{v}:{label}"
+                        near = np.flatnonzero(far <= 1 - sure)
+                        some = pdf.iloc[near].assign(slot=slot, far=far[near])
+                        new = [(slot[:-2], i, t) not in told for i, t in zip(some["doc_id"], some["th"])]
+                        some = some[np.array(new, bool)]
+                        out.append(some.sort_values(["far", "doc_id", "th"]).head(grow))
+            yield pd.concat(out)[["slot", "far", "doc_id", "th", "x", "h", "p"]]
+
+    found = pool.mapInPandas(run, f"slot string, far double, doc_id {pool.schema['doc_id'].dataType.simpleString()}, th long, x binary, h binary, p binary")
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy("far", "doc_id", "th"))  # cut to grow rows before the shuffle, too
+    return found.withColumn("r", rank).filter(F.col("r") <= grow).drop("r").toPandas()
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, rounds: int = 3, grow: int = 100) -> dict | None:
+    """Co-trained models from at most ``labelled`` rows of ``labels(doc_id, quality, toxic)`` and all other documents.
+
+    The labelled sample is the rows with the least hash of their ``doc_id``; every fourth is held out. In each of ``rounds`` rounds all documents outside it are
+    scored, and a view labels for the other the ``grow`` rows of each kind it is surest of. Null ids and labels are left out; a
     document labelled twice takes the worse label. ``toxic`` may be missing. ``good`` or ``harmless`` is None if one of its labels is missing
-    among the sample: then there is nothing to learn. At most ``words`` words are learnt as signs of toxic documents.
+    among the sample: then there is nothing to learn.
     """
     spark = docs.sparkSession
     order = F.xxhash64("doc_id", F.lit("sample"))
     toxic = F.col("toxic").cast("int") if "toxic" in labels.columns else F.lit(None).cast("int")
     marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.min(1 - toxic).alias("harmless"))
     marked = marked.filter("quality is not null or harmless is not null").fillna(-1, ["quality", "harmless"])
-    taken = marked.orderBy(order, "doc_id").limit(labelled).toPandas().sort_values("doc_id")
-    taken["held"] = np.arange(len(taken)) % 4 == 3
-    rest = docs.select("doc_id").filter("doc_id is not null").join(marked.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).toPandas()
-    ids = pd.concat([taken, rest.drop_duplicates().assign(quality=-1, harmless=-1, held=False)], ignore_index=True)
+    ids = marked.orderBy(order, "doc_id").limit(labelled).toPandas().sort_values("doc_id")
+    ids["held"] = np.arange(len(ids)) % 4 == 3
     if not len(ids):
         return None
-    few = spark.createDataFrame(ids.astype({"quality": int, "harmless": int, "held": bool}), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality long, harmless long, held boolean")
-    # labelled + pool ids: a bounded table
-    own = Table(docs.select("doc_id", *[c.alias(n) for c, n in zip(_columns(docs), "tsgn")]).join(F.broadcast(few), "doc_id"), "sample")
-    harmful = _harmful(own.df, words)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = spark.createDataFrame(ids.astype({"quality": int, "harmless": int, "held": bool}), f"doc_id {kind}, quality long, harmless long, held boolean")
+    # at most labelled ids: a bounded table
+    own = Table(docs.select("doc_id", F.xxhash64("text").alias("th"), *[c.alias(n) for c, n in zip(_columns(docs), "tsgn")]).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "th"]), "sample")
+    harmful = _harmful(own.df)
+    seen = own.df.agg(F.collect_set("s").alias("s"), F.collect_set("g").alias("g")).first()
+    meta = Meta(set(seen.s), set(seen.g))
 
     def features(batches):
         for pdf in batches:
-            text, harm, meta = _views(pdf["t"], pdf["s"], pdf["g"], pdf["n"], harmful)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "harmless": pdf["harmless"], "held": pdf["held"], "text": list(text), "harm": list(harm), "meta": list(meta)})
+            text, harm, places = _views(pdf["t"], pdf["s"], pdf["g"], pdf["n"], harmful, meta)
+            cells = [[x.tobytes() for x in part] for part in (text.astype(np.float32), harm.astype(np.float32), places)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], "quality": pdf["quality"], "harmless": pdf["harmless"], "held": pdf["held"], "x": cells[0], "h": cells[1], "p": cells[2]})
 
-    out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality long, harmless long, held boolean, text array<double>, harm array<double>, meta array<double>"
-    rows = own.df.mapInPandas(features, out).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = own.df.mapInPandas(features, f"doc_id {kind}, th long, quality long, harmless long, held boolean, x binary, h binary, p binary").toPandas()
+    rows = rows.sort_values(["doc_id", "th"]).drop_duplicates("doc_id")
     own.drop()
     if not len(rows):
         return None
-    text, harm, meta = (np.stack(rows[c]) for c in ("text", "harm", "meta"))
-    held = rows["held"].to_numpy(bool)
-    good = co_train([text, meta], rows["quality"].to_numpy(int), held)
-    # without words to go by, metadata alone must not call a document toxic
-    harmless = co_train([harm, meta], rows["harmless"].to_numpy(int), held, sure=0.98, highest=0.75) if harmful else None
-    return {"good": good, "harmless": harmless, "harmful": harmful}
+    views, held = _unpacked(rows, meta), rows["held"].to_numpy(bool)
+    trainers = {"good": CoTrainer([views[v] for v in VIEWS["good"]], rows["quality"].to_numpy(int), held, 0.95, 0.5)}
+    if harmful:  # without words to go by, metadata alone must not call a document toxic
+        trainers["harmless"] = CoTrainer([views[v] for v in VIEWS["harmless"]], rows["harmless"].to_numpy(int), held, 0.98, 0.75)
+    trainers = {k: t for k, t in trainers.items() if t.ready}
+    if trainers:
+        pool, told = Table(_pool(docs, few.select("doc_id"), harmful, meta), "features"), set()
+        for r in range(rounds + 1):
+            for t in trainers.values():
+                t.fit()
+            if r == rounds:
+                break
+            new = _surest(pool.df, trainers, meta, grow, told)
+            for slot, part in new.groupby("slot"):
+                name, teacher, label = slot.split(":")
+                other = 1 - int(teacher)
+                trainers[name].learn(other, _unpacked(part, meta)[VIEWS[name][other]], int(label))
+                told |= {(slot[:-2], i, t) for i, t in zip(part["doc_id"], part["th"])}
+            if not len(new):
+                break
+        pool.drop()
+    return {"good": None, "harmless": None, "harmful": harmful, "meta": meta} | {k: t.finish() for k, t in trainers.items()}
 
 
 def _scorer(docs: DataFrame, model: dict | None) -> Column:
     """``good double, harmless double, keep boolean`` of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or {"good": None, "harmless": None, "harmful": {}})
+    shared = docs.sparkSession.sparkContext.broadcast(model or {"good": None, "harmless": None, "harmful": {}, "meta": Meta(set(), set())})
 
     @F.pandas_udf("good double, harmless double, keep boolean")
     def score(t: pd.Series, s: pd.Series, g: pd.Series, n: pd.Series) -> pd.DataFrame:
@@ -216,7 +296,8 @@ def _scorer(docs: DataFrame, model: dict | None) -> Column:
         cuts = [model[c]["cut"] if model[c] else 0.5 for c in ("good", "harmless")]
         for at in range(0, len(t), 1024):
             cut = slice(at, at + 1024)
-            text, harm, meta = _views(t.iloc[cut], s.iloc[cut], g.iloc[cut], n.iloc[cut], model["harmful"])
+            text, harm, places = _views(t.iloc[cut], s.iloc[cut], g.iloc[cut], n.iloc[cut], model["harmful"], model["meta"])
+            meta = model["meta"].view(places)
             good = predict(model["good"], text, meta)
             harmless = predict(model["harmless"], harm, meta) if model["harmless"] else np.ones(len(text))
             out.append(np.stack([np.round(good, 6), np.round(harmless, 6), (good >= cuts[0]) & (harmless >= cuts[1])], axis=1))
@@ -226,17 +307,17 @@ def _scorer(docs: DataFrame, model: dict | None) -> Column:
     return score(*_columns(docs))
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = 4000) -> DataFrame:
     """``doc_id, score, harmless, keep`` for each row of ``docs``: the probability that it is good, and that it isn't toxic.
 
     ``keep`` is false where either is below its cut, which at most one in 500 of the good (or harmless) rows held out fell under and never exceeds
     0.5 (0.75). Without labels of both kinds ``score`` is 0.5 (``harmless`` 1) and every row kept. A null text counts as an empty one; null or missing
     metadata are values of their own. An empty table gives none.
     """
-    found = docs.select("doc_id", _scorer(docs, fit(docs, labels, labelled, pool)).alias("found"))
+    found = docs.select("doc_id", _scorer(docs, fit(docs, labels, labelled)).alias("found"))
     return found.select("doc_id", F.col("found.good").alias("score"), "found.harmless", "found.keep")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`classify` doesn't keep; columns stay."""
+    """``docs`` without the rows that :func:`classify` doesn't keep; columns stay. Nulls, empty tables and missing labels are as there; rows that repeat share their lot."""
     return docs.filter(_scorer(docs, fit(docs, labels))["keep"]).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,8 @@ def accounting_number(c: Column) -> Column:
 def true(c: Column) -> Column:
     """A condition with null as false."""
     return F.coalesce(c, F.lit(False))
+
+
+def stripped(df: DataFrame) -> DataFrame:
+    """All text columns without white space at their ends."""
+    return df.withColumns({f.name: F.regexp_replace(F.col(f"`{f.name}`"), r"(?U)^\s+|\s+$", "") for f in df.schema.fields if f.dataType.typeName() == "string"})

@@ -198,13 +198,13 @@ def legacy_upload(df: DataFrame) -> DataFrame:
     dash = have(df, ("k_qty", "k_price", "k_diff", "k_diff_pct", "k_link", "n_qty", "n_price", "n_diff", "n_diff_pct", "n_supplier", "n_link"))
     df = df.withColumns({c: F.when(F.col(c).cast("string") != "-", F.col(c)) for c in dash})
     df = df.withColumns({c: F.when(F.col(c).rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col(c)) for c in have(df, ("k_link", "n_link"))})
-    k, n = (*K_DATA, "k_image"), (*N_DATA, "n_image")
-    df = clear(df, number(df, "k_diff") >= 0, k)
-    df = clear(df, number(df, "n_diff") >= 0, n)
-    df = clear(df, number(df, "k_diff_pct") > -1, k)
-    df = clear(df, number(df, "n_diff_pct") > -1, n)
     blank = F.coalesce(F.trim(F.col("n_qty").cast("string")) == "", F.lit(True)) | N.true(number(df, "n_qty") == 0)
-    df = clear(df, blank & (number(df, "n_diff_pct") > -10) & ~T.contains_any(F.col("n_supplier"), S.PROMO_UPLOAD, fold=False), n)
+    promo = T.contains_any(F.col("n_supplier"), S.PROMO_UPLOAD, fold=False)
+    gone = {s: N.true(number(df, f"{s}_diff") >= 0) | N.true(number(df, f"{s}_diff_pct") > -1) for s in "kn"}
+    gone["n"] = gone["n"] | (blank & N.true(number(df, "n_diff_pct") > -10) & ~promo)
+    # judged on the cells as they came, then cleared once: conditions on cleared cells would nest
+    df = df.withColumns({"__k": gone["k"], "__n": gone["n"]})
+    df = clear(clear(df, F.col("__k"), (*K_DATA, "k_image")), F.col("__n"), (*N_DATA, "n_image")).drop("__k", "__n")
     df = df.withColumn("k_qty", F.when(number(df, "k_qty").isNotNull(), F.col("k_qty")))
     some = [F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)) for c in dash]
     return df.filter(reduce(lambda a, b: a | b, some))

@@ -43,6 +43,56 @@ def as_image(value: Column, source: str) -> Column:
     return F.when(T.is_http(value), plain).when(value.startswith("{") & T.is_http(parsed["url"]), parsed)
 
 
+def first_field(df: DataFrame, names: tuple[str, ...]) -> Column:
+    """The column of the first of ``names`` that a frame has, else null: which fields a record has decides, not whether they hold something."""
+    there = [c for c in names if c in df.columns]
+    return F.col(there[0]) if there else F.lit(None).cast("string")
+
+
+# Fields of a shopping offer that may hold the seller's name and link, in the order they are tried.
+SELLER_NAMES = ("mall_name", "mallName", "seller_name", "api_seller_name")
+SELLER_LINKS = ("mall_link", "mallProductUrl", "seller_link")
+
+
+def with_seller(offers: DataFrame) -> DataFrame:
+    """``offers`` with ``n_supplier`` and ``n_supplier_link``, each from the first field that a record's map ``fields`` has, or else from columns."""
+    if "fields" in offers.columns:
+        pick = lambda names: F.coalesce(*[F.when(F.map_contains_key("fields", c), F.struct(F.col("fields")[c].alias("v"))) for c in names])["v"]
+    else:
+        pick = lambda names: first_field(offers, names)
+    return offers.withColumns({"n_supplier": pick(SELLER_NAMES), "n_supplier_link": pick(SELLER_LINKS)})
+
+
+def normalised_candidates(offers: DataFrame) -> DataFrame:
+    """Offers with a name and a link or address (``href``), which then is the link; any price will do. ``image_path`` gives way to ``src``, then ``image_url``."""
+    blank = lambda c: F.nullif(F.col(c), F.lit("")) if c in offers.columns else F.lit(None).cast("string")
+    out = offers.withColumns({"link": F.coalesce(blank("link"), blank("href")), "image_path": F.coalesce(blank("image_path"), blank("src"), blank("image_url"))})
+    return out.filter((F.coalesce(F.col("name"), F.lit("")) != "") & F.col("link").isNotNull())
+
+
+def product_codes(html: Column) -> Column:
+    """Catalogue codes (four letters and digits) in the addresses of a page's product images, in order."""
+    return F.regexp_extract_all(html, F.lit(r"(?i)/upload/product/\w+/([A-Z]{4}\d+)s"), 1)
+
+
+def product_images(html: Column) -> Column:
+    """The addresses of a page's product images, in order."""
+    return F.regexp_extract_all(html, F.lit(r"<img[^>]+src=[\"']([^\"']*upload/product[^\"']*\.(?:jpe?g|png|gif|webp))[\"']"), 1)
+
+
+# Parts of addresses that no product image has.
+NOT_PRODUCT = ("icon", "button", "btn_", "pixel.gif", "spacer.gif", "no_image", "_s.")
+
+
+def valid_product_image(url: Column, host: str) -> Column:
+    """Whether an address, absolute on ``host`` or from the root, is that of a product image."""
+    u = F.lower(F.trim(url))
+    path = F.when(u.startswith("http"), T.url_path(u)).otherwise(F.regexp_replace(u, r"[?#].*$", ""))
+    ext = F.regexp_extract(path, r"[^/](\.[^./]*)$", 1)
+    sound = u.rlike("^(https?://|/)") & ext.isin("", ".jpg", ".jpeg", ".png", ".gif") & ~T.contains_any(u, NOT_PRODUCT)
+    return F.coalesce(sound & (~u.startswith("http") | T.url_host(u).contains(host)), F.lit(False))
+
+
 def offer_image(offer: Column) -> Column:
     """An offer's image: the first of its fields that has one; only addresses with a known image extension count."""
     got = F.coalesce(*[F.nullif(offer[f], F.lit("")) for f in ("image_url", "image_path", "src")])

@@ -56,13 +56,17 @@ def hash_or_all(candidates: DataFrame, keys: list[str], product_hash: str, image
     return marked.join(some, keys).filter("__hit OR NOT __any").drop("__hit", "__any")
 
 
-def images_by_hash(products: DataFrame, images: DataFrame, name: str = "product_name", path: str = "path") -> DataFrame:
-    """Images whose file name carries the product's name hash. A name without a hash keeps all images; one without a hit has none."""
+def images_by_hash(products: DataFrame, images: DataFrame, name: str = "product_name", path: str = "path", unnamed: str = "none") -> DataFrame:
+    """Images whose file name carries the product's name hash; a product without a hit has none.
+
+    By rule a name without a hash keeps all images. That is every pair of such products and images, so the caller asks for it: ``unnamed="all"``.
+    """
     p = products.withColumn("__h", T.name_hash(F.col(name)))
     i = images.withColumn("__ih", T.file_hash(F.col(path)))
     hits = p.filter("__h <> ''").join(i, p["__h"] == i["__ih"])
-    rest = p.filter("__h = ''").crossJoin(i)
-    return hits.unionByName(rest).drop("__h", "__ih")
+    if unnamed == "all":
+        hits = hits.unionByName(p.filter("__h = ''").crossJoin(i))
+    return hits.drop("__h", "__ih")
 
 
 def one_use_images(products: DataFrame, images: DataFrame) -> DataFrame:
@@ -92,7 +96,9 @@ def first_unused(tokens: Column, images: DataFrame, used: DataFrame) -> DataFram
 
 
 def pairs(left: DataFrame, right: DataFrame, block: list[str] | None = None) -> DataFrame:
-    """Rows of both sides with equal blocking keys; every pair there is if none are named."""
+    """Rows of both sides with equal blocking keys; with an empty list, asked for by name, every pair there is."""
+    if block is None:
+        raise ValueError("name the blocking columns, or pass an empty list for every pair")
     return left.join(right, block) if block else left.crossJoin(right)
 
 

@@ -15,7 +15,7 @@ from ..functions import nulls as N
 from ..functions import pricing as P
 from ..functions import similarity as M
 from ..functions import text as T
-from ..operators import aggregates, filters, images, joins, matching, ranking
+from ..operators import aggregates, filters, joins, matching, ranking
 from ..sources import html_tables
 from ..streaming import offers as streams
 from . import compare
@@ -176,7 +176,8 @@ def highlight(spark, sf_dir):
 
 @query(f"WITH {COMPARISON} SELECT p_partkey, k_diff, n_diff FROM c WHERE coalesce(k_diff < 0, false) OR coalesce(n_diff < 0 AND NOT coalesce(n_qty IS NULL AND abs(n_diff_pct) <= 10, false), false)")
 def business_rows(spark, sf_dir):
-    return comparison(spark, sf_dir).transform(filters.business_rules).select("p_partkey").join(comparison(spark, sf_dir).select("p_partkey", "k_diff", "n_diff"), "p_partkey")
+    c = comparison(spark, sf_dir).withColumns({"k_was": F.col("k_diff"), "n_was": F.col("n_diff")})
+    return filters.business_rules(c).select("p_partkey", F.col("k_was").alias("k_diff"), F.col("n_was").alias("n_diff"))
 
 
 @query(f"WITH {COMPARISON} SELECT count(k_price) AS k_price, count(n_price) AS n_price, count(base_price) AS base_price FROM c")
@@ -321,13 +322,6 @@ def hits_by_type(spark, sf_dir):
     return joins.combine_matches(n, hits, hits.select("event_type"), key="event_type").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
-@query()
-def image_scores(spark, sf_dir):
-    """The combined image score of four method scores taken from each vector; the tests hold it against fixed values."""
-    x = [F.abs(F.get(F.col("embedding"), F.lit(i))).cast("double") for i in range(4)]
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(M.image_score(*x), 6).alias("score"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_name LIKE '%widget%' OR p_name LIKE '%bolt%' THEN true ELSE false END AS found, lower(p_brand) AS brand FROM part")
 def keyword_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.contains_any(F.col("p_name"), ("widget", "bolt")).alias("found"), F.lower("p_brand").alias("brand"))
@@ -337,8 +331,3 @@ def keyword_filter(spark, sf_dir):
 def numbers_in_text(spark, sf_dir):
     b = F.col("p_brand")
     return table(spark, sf_dir, "part").select("p_partkey", T.digits_or_zero(b).alias("number"), N.to_number(b).isNull().alias("no_number"))
-
-
-@query("SELECT s_suppkey, '일반' AS kind FROM supplier")
-def supplier_types(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", images.supplier_type(F.col("s_name")).alias("kind"))

@@ -5,7 +5,8 @@ one group when sorted that deep. The sort runs over most significant digits firs
 
 1. Every suffix is filed under the least of the ``GRAM``-byte strings in its first ``depth`` bytes (a choice that equal suffixes
    share), neighbours with the same choice as one run. The digit of the first pass is that string; it settles nearly all text.
-2. The digit of the second pass is all that the run's suffixes read. Runs that are equal in it repeat in full, wherever they stand.
+2. The digit of the second pass is all that the run's suffixes read. Runs that are equal in it repeat in full, wherever they stand. A document's own
+   equal runs are told before anything is shuffled and leave as one.
 3. Runs that share the string but not the whole are sorted by the ``depth`` bytes of each suffix. One run stands for all equal
    ones; a group with very many different runs is spread over the cluster suffix by suffix.
 
@@ -160,8 +161,24 @@ def coded(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, "id0 long, th long, t binary")
 
 
+def once_each(first: np.ndarray, stop: np.ndarray, doc: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(keep, copies, starts, stops, docs)``: the first of the equal runs of each document and how many there are; where there are several,
+    the stretches that they cover together."""
+    order = np.lexsort((first, u, h, doc))
+    new = np.flatnonzero(np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]) | (u[order][1:] != u[order][:-1]))))
+    copies = np.diff(np.append(new, len(order)))
+    again = np.sort(order[np.repeat(copies > 1, copies)])  # runs come by document and place
+    if not len(again):
+        return order[new], copies, again, again, again
+    s, e, d = first[again], np.maximum.accumulate(stop[again]), doc[again]
+    at = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > e[:-1]))))
+    return order[new], copies, s[at], e[np.append(at[1:], len(s)) - 1], d[at]
+
+
 def _runs(keys: DataFrame, depth: int, unit: type = np.uint8) -> DataFrame:
-    schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("id0", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("p", pa.int32()), ("b", pa.int32())])
+    """Runs of suffixes with their key, place and ``m``, how often the document holds such a run; and with ``m`` 0 the stretches ``a`` to ``stop`` that a
+    document's own equal runs cover."""
+    schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("id0", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int32()), ("m", pa.int32()), ("stop", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +192,16 @@ def _runs(keys: DataFrame, depth: int, unit: type = np.uint8) -> DataFrame:
                 first, anchor, last, h, u = runs_of(data[lo:hi], ends, depth, GRAM if unit is np.uint8 else WORD_GRAM)
                 if len(first):
                     doc = np.searchsorted(off, first + lo, "right") - 1
-                    columns = (h.view(np.int64), u.view(np.int64), id0[doc], th[doc], first + lo - off[doc], (anchor - first).astype(np.int32), (last - first).astype(np.int32))
+                    keep, copies, starts, stops, of = once_each(first, last + depth, doc, h, u)
+                    none, own = np.zeros(len(of), np.int64), doc[keep]
+                    columns = (
+                        np.concatenate((h[keep].view(np.int64), none)), np.concatenate((u[keep].view(np.int64), none)), id0[np.concatenate((own, of))], th[np.concatenate((own, of))],
+                        np.concatenate((first[keep] - off[own], starts - off[of])) + lo, np.concatenate((last[keep] - first[keep], none)).astype(np.int32),
+                        np.concatenate((copies, none)).astype(np.int32), np.concatenate((last[keep] + depth - off[own], stops - off[of])) + lo,
+                    )
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
 
-    return keys.mapInArrow(run, "h long, u long, id0 long, th long, a long, p int, b int")
+    return keys.mapInArrow(run, "h long, u long, id0 long, th long, a long, b int, m int, stop long")
 
 
 def _windows(segments: list[bytes], counts: np.ndarray, depth: int, unit: type = np.uint8) -> tuple[np.ndarray, ...]:
@@ -211,14 +234,15 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = F
     if depth < 2 * gram:
         raise ValueError(f"depth must be {2 * gram} at least")
     keys = coded(keyed(docs)) if words else keyed(docs)
-    runs = _runs(keys, depth, unit)
+    every = durable(_runs(keys, depth, unit), "every")
+    runs = every.filter("m > 0")
     wide = np.dtype(unit).itemsize
-    equal = durable(runs.groupBy("h", "u").agg(F.count("*").alias("n")), "equal")
+    equal = durable(runs.groupBy("h", "u").agg(F.sum("m").alias("n")), "equal")
     groups = equal.groupBy("h").agg(F.sum("n").alias("rows"), F.count("*").alias("k")).filter("rows > 1")
-    shared = durable(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "p", "b", "n", "k"), "runs")
-    found = shared.filter("n > 1").selectExpr(*KEY, "a AS start", f"a + b + {depth} AS stop")
+    shared = durable(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "b", "stop", "n", "k"), "runs")
+    found = shared.filter("n > 1").select(*KEY, F.col("a").alias("start"), "stop").union(every.filter("m = 0").select(*KEY, "a", "stop"))
 
-    kinds = shared.filter("k > 1").groupBy("h", "u").agg(F.max("n").alias("n"), F.min(F.struct(*KEY, "a", "p", "b")).alias("r"))
+    kinds = shared.filter("k > 1").groupBy("h", "u").agg(F.max("n").alias("n"), F.min(F.struct(*KEY, "a", "b")).alias("r"))
     kinds = durable(kinds, "kinds")
 
     wanted = kinds.selectExpr("h", "n = 1 AS alone", "r.*").groupBy(*KEY).agg(F.collect_list(F.struct("h", "alone", "a", "b")).alias("r"))

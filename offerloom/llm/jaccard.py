@@ -190,6 +190,14 @@ def _search(tiles: DataFrame, sets: DataFrame, signatures: DataFrame, least: flo
     return rows.repartition("cell", "tile").sortWithinPartitions("cell", "tile", F.desc("held"), "c").mapInPandas(compare, "a long, b long")
 
 
+def _joined(of: DataFrame, links: DataFrame, held: Scratch) -> DataFrame:
+    """``of(node, component)`` with ``links(a, b)`` added: only the components that these join are solved, not all links anew."""
+    ends = links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    up = held(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "joined")
+    old = of.join(up.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return old.union(up.join(of, "node", "left_anti").select("node", "component"))
+
+
 def drop_similar(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without all but one row of each group: the one with the smallest ``doc_id``, then text hash, stays.
 
@@ -205,8 +213,7 @@ def drop_similar(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFram
     shared = held(spread.join(many, "key").select("key", "node", "m"), "buckets")
     sets = held(_sets(shared.select("node").distinct(), nodes, docs, size), "shingles")
 
-    links = held(_similar(_chain(shared.withColumn("c", F.col("node")), 0), sets, least), "chain")
-    of = held(components(links), "groups")
+    of = held(components(held(_similar(_chain(shared.withColumn("c", F.col("node")), 0), sets, least), "chain")), "groups")
     for step in ("order", "blocks"):
         rest = shared.join(of, "node", "left").select("key", "node", "m", F.coalesce("component", "node").alias("c"))
         split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("low < high")
@@ -218,8 +225,7 @@ def drop_similar(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFram
             found = _search(_tiles(rest, sizes), sets, distinct.select("node", "sig"), least)
         found = held(found, step)
         if not found.isEmpty():
-            links = links.union(found)
-            of = held(components(links), "groups")
+            of = held(_joined(of, found, held), "groups")
 
     named = nodes.join(of, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("c"))
     low = named.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("low"), F.count("*").alias("k")).filter("k > 1").select("c", "low")

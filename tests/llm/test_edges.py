@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.llm import chat, decontam, embed_dedup, jaccard, licenses, mixing, quality, simhash, suffix_dedup, tokens, urls
+from offerloom.llm.common import Scratch, components
 
 from .test_llm import DOCS, brute_cut, documents, fingerprint, five_words, smallest, words
 
@@ -138,3 +139,14 @@ def test_ties(spark):
     assert {(r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(vectors).collect()} == {(i, 8, 0) for i in range(3)}
     got = quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).agg(F.count_distinct("score")).first()[0]
     assert got == 1
+
+
+def test_joined_components(spark):
+    rng = random.Random(21)
+    pairs = lambda n, top: [(rng.randrange(top), rng.randrange(top)) for _ in range(n)]
+    for first, more in ((pairs(60, 120), pairs(25, 140)), ([], [(5, 3), (3, 9), (7, 7)]), ([(i, i + 1) for i in range(40)], [(39, 60), (60, 2)]), ([(1, 2)], [])):
+        frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+        held = Scratch()
+        got = jaccard._joined(held(components(frame(first)), "of"), frame(more), held).collect()
+        low = smallest(150, first + more)
+        assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == {x: low[x] for p in first + more for x in p if p[0] != p[1] or low.count(low[x]) > 1}

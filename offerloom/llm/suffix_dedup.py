@@ -145,20 +145,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id0"), F.xxhash64(text, F.col("doc_id").isNull()).alias("th"), text.cast("binary").alias("t"))
 
 
-def coded(keys: DataFrame) -> DataFrame:
-    """``keys`` with the 64-bit hashes of the words of ``t`` in place of its bytes."""
+def coded(text: bytes) -> bytes:
+    """The 64-bit hashes of a text's words, end to end."""
+    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                codes = [np.array([h(w) for w in t.split()], np.uint64).tobytes() for t in part.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id0"), part.column("th"), pa.array(codes, pa.binary())], names=[*KEY, "t"])
-
-    return keys.mapInArrow(run, "id0 long, th long, t binary")
+    return np.array([xxhash.xxh64_intdigest(w) for w in text.split()], np.uint64).tobytes()
 
 
 def once_each(first: np.ndarray, stop: np.ndarray, doc: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -180,9 +171,15 @@ def _runs(keys: DataFrame, depth: int, unit: type = np.uint8) -> DataFrame:
     document's own equal runs cover."""
     schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("id0", pa.int64()), ("th", pa.int64()), ("a", pa.int64()), ("b", pa.int32()), ("m", pa.int32()), ("stop", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = texts_of(batch.column("t"))
+            step = max(1, batch.num_rows) if unit is np.uint8 else 256  # words are coded a few texts at a time
+            yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            column = batch.column("t")
+            data, off = texts_of(column if unit is np.uint8 else pa.array([coded(x.as_py()) for x in column], pa.binary()))
             data, off = data.view(unit), off // np.dtype(unit).itemsize
             id0, th = (batch.column(k).to_numpy() for k in KEY)
             for lo, hi in pieces(off, depth):
@@ -233,7 +230,7 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = F
     unit, gram = (np.uint64, WORD_GRAM) if words else (np.uint8, GRAM)
     if depth < 2 * gram:
         raise ValueError(f"depth must be {2 * gram} at least")
-    keys = coded(keyed(docs)) if words else keyed(docs)
+    keys = keyed(docs)
     every = durable(_runs(keys, depth, unit), "every")
     runs = every.filter("m > 0")
     wide = np.dtype(unit).itemsize
@@ -251,6 +248,7 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = F
         for pdf in batches:
             rows: list[tuple] = []
             for i, t, text, r in zip(pdf["id0"], pdf["th"], pdf["t"], pdf["r"]):
+                text = coded(text) if words else text
                 for x in r:
                     rows.append((x["h"], x["alone"], i, t, x["a"], x["b"], text[x["a"] * wide : (x["a"] + x["b"] + depth) * wide]))
                     if len(rows) == 2048:

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, licenses, manifest, mixing, quality, simhash, suffix_dedup, tokens, urls
+from . import align, chat, decontam, embed_dedup, licenses, manifest, mixing, quality, simhash, suffix_dedup, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str, models: str = "/opt/tokenizers") -> DataFrame:
+    """How the tokens of a byte-level BPE and of a piece model line up in each document, and which pairs of ids go together."""
+    return align.align(table(spark, sf_dir, "documents"), f"{models}/byte_bpe_50k.json", f"{models}/piece_bpe_32k.model")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's leaf, proof and root, and whether it still proves the root after a fifth of the texts was put in lower case."""
     struck = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, decontam, embed_dedup, licenses, manifest, mixing, quality, simhash, suffix_dedup, tokens, urls
+from . import align, chat, decontam, embed_dedup, licenses, manifest, mixing, quality, simhash, substring_dedup, suffix_dedup, tokens, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document covered by 50 words in a row that start in an earlier document too, and a digest of the rest."""
+    cut = substring_dedup.without_later(table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str, models: str = "/opt/tokenizers") -> DataFrame:
     """How the tokens of a byte-level BPE and of a piece model line up in each document, and which pairs of ids go together."""
     return align.align(table(spark, sf_dir, "documents"), f"{models}/byte_bpe_50k.json", f"{models}/piece_bpe_32k.model")
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

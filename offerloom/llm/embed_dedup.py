@@ -40,6 +40,8 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.nd
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+    # by a power of two, which rounds nothing, so that squares of very small or large components stay within range
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -358,6 +358,7 @@ def _matched(docs: DataFrame, depth: int, *columns: str, words: int | None = Non
     if words:
         found = found.union(repeats(docs, words, words=True).withColumn("w", F.lit(True)))
     lists = [F.collect_list(F.when(F.col("w") == w, F.col(c))) for w in (False, True) for c in ("start", "stop")]
+    found = found.distinct()  # rows that are equal in id and text all have the same stretches
     spans = durable(found.groupBy(*KEY).agg(*lists).toDF("__i0", "__h0", "__starts", "__stops", "__wstarts", "__wstops"), "spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("__t"))

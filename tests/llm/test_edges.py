@@ -150,3 +150,28 @@ def test_joined_components(spark):
         got = jaccard._joined(held(components(frame(first)), "of"), frame(more), held).collect()
         low = smallest(150, first + more)
         assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == {x: low[x] for p in first + more for x in p if p[0] != p[1] or low.count(low[x]) > 1}
+
+
+def test_vectors_of_any_magnitude(spark):
+    """The cosine, not the squares of components, decides."""
+    rng = random.Random(24)
+    base = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(12)]
+    vectors = [[x * scale for x in v] for v in base for scale in (1e-300, 1e-200, 1.0, 1e200, 1e300)] + [[1e-200, 2e-200, 0.0, 0.0], [1.0, 0.01, 0.0, 0.0], [0.01, 1.0, 0.0, 0.0], [5e-324, 0.0, 0.0, 0.0], [1.7e308, 1.7e308, 0.0, 0.0]]
+    df = spark.createDataFrame([(i, v, "a") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label string")
+
+    def cosine(v, w):
+        v, w = ([x / max(map(abs, u)) for x in u] for u in (v, w))
+        return sum(x * y for x, y in zip(v, w)) / (sum(x * x for x in v) * sum(y * y for y in w)) ** 0.5
+
+    n = len(vectors)
+    links = [(i, j) for i in range(n) for j in range(i) if cosine(vectors[i], vectors[j]) >= 0.93]
+    low = smallest(n, links)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, threshold=0.93).collect()}
+    assert got == {i: (sum(i in x for x in links), low[i]) for i in range(n)}
+
+
+def test_many_equal_rows_are_linear(spark):
+    text = words(random.Random(25), 150)
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = suffix_dedup.cut_repeats(df).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in got] == [(len(text.encode()), len(text.encode()), 1, 20_000)]

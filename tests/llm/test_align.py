@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from offerloom.llm import align
 
@@ -27,9 +28,21 @@ def ends(ids, table):
     return out
 
 
+class Whole:
+    """The library that the file is made for."""
+
+    def __init__(self):
+        self.bytes = models()[0].bytes
+        self.model = Tokenizer.from_file(A)
+        self.model.encode_special_tokens = True
+
+    def encode(self, texts):
+        return [x.ids for x in self.model.encode_batch(texts, add_special_tokens=False)]
+
+
 def brute(texts):
-    """Counts and digests from the offsets where tokens end, without stretches, states or memory."""
-    a, b = models()
+    """Counts and digests from the offsets where tokens end, whole texts encoded at once, without stretches, states or memory."""
+    a, b = Whole(), models()[1]
     rows, links = [], []
     for text in texts:
         ia, ib = (side.encode([" " + (text or "")])[0] for side in (a, b))
@@ -55,7 +68,7 @@ def brute(texts):
 
 def mixed():
     rng = random.Random(41)
-    odd = ["  two  spaces ", "tab\tand\n\nlines \n x", "\u00a0hard\u3000wide \u2028x", "<|endoftext|> <s> </s> <unk> <0x41>", "don't we'll I'VE", "\u2581 \u2581\u2581a", "\ufb01 \u212b \uff21 e\u0301", "日本語のテキスト 한국어", "\U0001f600\U0001f1e9\U0001f1ea \u200d", "\x00 \x1c \x1f a\x1f b", " ", "\n", "a", "", None, "1234567 12.50 €", "x" * 300]
+    odd = ["  two  spaces ", "tab\tand\n\nlines \n x", "\u00a0hard\u3000wide \u2028x", "<|endoftext|> <s> </s> <unk> <0x41>", "don't we'll I'VE", "\u2581 \u2581\u2581a", "\ufb01 \u212b \uff21 e\u0301", "日本語のテキスト 한국어", "\U0001f600\U0001f1e9\U0001f1ea \u200d", "\x00 \x1c \x1f a\x1f b", " ", "\n", "a", "", None, "x ", " x", "a  b", "a\n b", "1234567 12.50 €", "x" * 300]
     return odd + odd[:4] + ["".join(rng.choices("ab \n\t\u00a0é\u2581'.19日", k=rng.randint(1, 60))) for _ in range(150)] + [words(rng, 80) for _ in range(5)]
 
 
@@ -79,7 +92,7 @@ def test_parts_and_memory(monkeypatch):
     rng = random.Random(42)
     text = words(rng, 3000) + "  \n " + "y" * 5000 + " end"
     whole = align.Aligner(*models())
-    assert whole.cut
+    assert whole.cut and whole.a.fast
     want = whole.align(text)
     monkeypatch.setattr(align, "AT_ONCE", 97)
     monkeypatch.setattr(align, "REMEMBERED", 20)
@@ -88,7 +101,7 @@ def test_parts_and_memory(monkeypatch):
         small.cut = cut
         got = small.align(text)
         assert got[:4] == want[:4] and got[4].tolist() == want[4].tolist() and got[5].tolist() == want[5].tolist()
-        assert len(small.known) < 60
+        assert len(small.known) < 60 and len(small.before) < 60
 
 
 def test_states_are_suffixes():

@@ -163,6 +163,7 @@ def later_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     keys = keyed(docs)
     every = durable(_runs(keys, window), "every")
     spread = every.groupBy("h").agg(F.min("id0").alias("lo"), F.max("id0").alias("hi")).filter("lo < hi").select("h", "lo")
+    spread = durable(spread, "spread")  # so that the join is all that its stage does, and a hot anchor's rows can be split
     shared = durable(every.join(spread, "h"), "shared")
     contents = durable(shared.groupBy("h", "u").agg(F.min(F.struct(*KEY, "a", "b")).alias("r"), F.max("id0").alias("hi"), F.min("lo").alias("lo")), "contents")
     anchors = contents.groupBy("h").agg(F.count("*").alias("k"), F.max("r.id0").alias("latest"), F.min("lo").alias("first")).filter("latest > first")

@@ -204,24 +204,48 @@ def quality_label(score: Column, high: float = 0.95, medium: float = 0.70, low:
     return F.when(score.isNull(), "none").when(score >= high, "high").when(score >= medium, "medium").when(score >= low, "low").when(score >= reject, "questionable").otherwise("rejected")
 
 
+def char_grams(c: Column, sizes: tuple[int, int] = (2, 4)) -> Column:
+    """Runs of ``sizes`` letters, in lower case, within words padded by blanks, repeats included."""
+
+    def runs(padded: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(padded) + 1 - n)
+        return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def per_word(w: Column) -> Column:
+        return F.flatten(F.array(*[runs(F.concat(F.lit(" "), w, F.lit(" ")), n) for n in range(sizes[0], sizes[1] + 1)]))
+
+    return F.flatten(F.transform(T.words(F.lower(c)), per_word))
+
+
+def weigh(texts: DataFrame, idf: DataFrame, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
+    """``(t, g, w)``: the grams of each distinct text ``t`` that ``idf(g, idf)`` holds, by ``1 + ln tf`` times their idf, at length 1."""
+    counts = texts.select("t").filter("t is not null").distinct().select("t", F.explode(char_grams(F.col("t"), sizes)).alias("g")).groupBy("t", "g").count()
+    weights = counts.join(idf, "g").select("t", "g", ((1 + F.log("count")) * F.col("idf")).alias("w"))
+    length = weights.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
+    return weights.join(length, "t").select("t", "g", (F.col("w") / F.col("l")).alias("w"))
+
+
+def gram_weights(texts: DataFrame, min_df: int = 2, max_df: float = 0.9, sizes: tuple[int, int] = (2, 4)) -> tuple[DataFrame, DataFrame]:
+    """:func:`weigh` of the distinct texts ``t``, and the ``idf(g, idf)`` that it uses: ``ln((1 + n) / (1 + df)) + 1`` over them.
+
+    Grams in fewer than ``min_df`` texts or more than ``max_df`` of them don't count. With ten texts or fewer nothing is fitted.
+    """
+    own = texts.select("t").filter("t is not null").distinct()
+    total = own.agg(F.count("*").alias("n"))
+    df = own.select("t", F.explode(F.array_distinct(char_grams(F.col("t"), sizes))).alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(total)).filter((F.col("n") > 10) & (F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    idf = idf.select("g", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    return weigh(own, idf, sizes), idf
+
+
 def tfidf_cosine(pairs: DataFrame, left: str, right: str, min_df: int = 2, max_df: float = 0.9, sizes: tuple[int, int] = (2, 4)) -> DataFrame:
     """``pairs`` with ``tfidf``: the cosine of the character n-gram weights of two texts, within words padded by blanks.
 
-    Weights are ``1 + ln tf`` times the smoothed ``ln((1 + n) / (1 + df)) + 1`` over the distinct texts; grams in fewer than ``min_df`` texts or more than
-    ``max_df`` of them don't count. With ten texts or fewer nothing is fitted and the score is 0.
+    Weights are those of :func:`gram_weights` over the distinct texts of both sides; with ten texts or fewer the score is 0.
     """
-    def grams(c: Column) -> Column:
-        per_word = lambda w: F.flatten(F.array(*[F.when(F.length(w) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(w) + 3 - n), lambda i, n=n: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(sizes[0], sizes[1] + 1)]))
-        return F.flatten(F.transform(T.words(F.lower(c)), per_word))
-
-    texts = pairs.select(F.col(left).alias("t")).union(pairs.select(right)).filter("t is not null").distinct()
-    counts = texts.select("t", F.explode(grams(F.col("t"))).alias("g")).groupBy("t", "g").count()
-    n = texts.count()
-    df = counts.groupBy("g").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    weights = counts.join(df, "g").select("t", "g", ((1 + F.log("count")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
-    length = weights.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    unit = weights.join(length, "t").select("t", "g", (F.col("w") / F.col("l")).alias("w"))
+    texts = pairs.select(F.col(left).alias("t")).union(pairs.select(right))
+    unit, _ = gram_weights(texts, min_df, max_df, sizes)
     wanted = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct()
     scored = wanted.join(unit.toDF("a", "g", "wa"), "a").join(unit.toDF("b", "g", "wb"), ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
     out = pairs.join(scored, (pairs[left] == scored["a"]) & (pairs[right] == scored["b"]), "left")
-    return out.select(*[pairs[c] for c in pairs.columns], F.when(F.lit(n > 10), F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("tfidf"))
+    return out.select(*[pairs[c] for c in pairs.columns], F.coalesce("s", F.lit(0.0)).alias("tfidf"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as M
 from ..functions import text as T
-from . import ranking
+from ..lineage import cut
+from . import ranking, similar
 
 
 def offers_of(products: DataFrame, offers: DataFrame, name: str = "product_name", trim: bool = False) -> DataFrame:
@@ -89,6 +90,46 @@ def three_images(products: DataFrame, images: DataFrame, score: float = 0.95) ->
     return out.withColumns({f"{s}_score": F.when(F.col(s).isNotNull(), score) for s in ("k", "n")})
 
 
+def one_use(pairs: DataFrame, left: str, right: str, left_order: str, right_order: str) -> DataFrame:
+    """``pairs(left, right, ...)`` of a greedy assignment that uses each right row once: in the order of ``left_order`` each left row takes the first, by
+    ``right_order``, of its pairs whose right row is free. Equal orders go by the ids.
+
+    That order is sequential, but a pair is final as soon as its left row is the first that still wants the right one and the right one the first that the left one still
+    wants. All such pairs are taken in a round, and rounds go on until no pair is left; a round is two aggregates by key and two anti-joins, so no task holds a
+    whole group. Rounds follow the longest chain of rows that wait for one another: rows that all want the same are better numbered (:func:`one_use_images`).
+    """
+    rest = cut(pairs.select(left, right, left_order, right_order).distinct())
+    out = rest.select(left, right).limit(0)
+    while not rest.isEmpty():
+        wants = rest.groupBy(left).agg(F.min_by(right, F.struct(right_order, right)).alias(right))
+        goes = rest.groupBy(right).agg(F.min_by(left, F.struct(left_order, left)).alias(left))
+        final = cut(wants.join(goes, [left, right]))
+        out = out.unionByName(final.select(left, right))
+        rest = cut(rest.join(final.select(left), left, "left_anti").join(final.select(right), right, "left_anti").select(left, right, left_order, right_order))
+    return out
+
+
+def three_similar(products: DataFrame, images: DataFrame, scores: DataFrame, least: float) -> DataFrame:
+    """Every product of :func:`three_images`' input with its ``base``, ``k`` and ``n`` image where likeness decides, not the name hash alone.
+
+    The image of a product is compared with its reference, the base image, else that of k: it is the first unused one of the product's hash with a
+    score of ``least`` or more in ``scores(a, b, score)``, ``a`` being the reference. A product without reference takes the first unused image.
+    """
+    named = products.withColumn("__h", T.name_hash(F.col("product_name"))).filter("__h <> ''")
+    files = images.withColumn("__h", F.coalesce("product_hash", T.file_hash(F.col("path")))).filter("__h IS NOT NULL")
+    base = one_use_images(products, images.filter("source = 'base'")).select(F.col("ordinal").alias("__o"), F.col("path").alias("base"))
+    out = products.join(base, products["ordinal"] == base["__o"], "left").drop("__o")
+    reference = F.col("base")
+    for source in ("k", "n"):
+        own = files.filter(F.col("source") == source).select("__h", F.col("path").alias("__p"), F.col("ordinal").alias("__i"))
+        met = named.select("ordinal", "__h").join(own, "__h").join(out.select("ordinal", reference.alias("__r")), "ordinal")
+        met = met.join(scores.select(F.col("a").alias("__r"), F.col("b").alias("__p"), F.col("score").alias("__s")), ["__r", "__p"], "left").filter((F.col("__s") >= least) | F.col("__r").isNull())
+        got = one_use(met.withColumn("__l", F.col("ordinal")), "__l", "__p", "ordinal", "__i").select("__l", F.col("__p").alias(source))
+        out = out.join(got, out["ordinal"] == got["__l"], "left").drop("__l")
+        reference = F.coalesce("base", *(["k"] if source == "k" else []))
+    return out
+
+
 def first_unused(tokens: Column, images: DataFrame, used: DataFrame) -> DataFrame:
     """The first image, not yet used, whose hash is that of the tokens joined by blanks."""
     free = images.join(used, "path", "left_anti")
@@ -128,11 +169,12 @@ def similarity_matrix(vectors: DataFrame, block: list[str] | None = None) -> Dat
     return pairs(a, b, block).select("i", "j", M.cosine(F.col("x"), F.col("y")).alias("sim"))
 
 
-def local_images(urls: DataFrame, files: DataFrame, url: str = "url", name: str = "name", fuzzy: float | None = None) -> DataFrame:
+def local_images(urls: DataFrame, files: DataFrame, url: str = "url", name: str = "name", fuzzy: float | None = None, contains: bool = False) -> DataFrame:
     """``urls`` with ``local``: the file of the first rule that finds one.
 
     Rules: the address's file name as it is; in lower case; a file whose name begins with it; one named by ten digits of the address's MD5;
-    and, with ``fuzzy``, the best of those that share the first letter with a common substring of more than that share of the longer name.
+    with ``contains``, the first file whose name holds the address's, of more than five letters; and, with ``fuzzy``, the one with the longest common substring, of more
+    than that share of the longer name. The last two look names up by rare grams (:mod:`.similar`), whatever letter they begin with.
     """
     rows = urls.withColumns({"__u": F.regexp_extract(T.url_path(F.col(url)), r"([^/]*)$", 1)})
     rows = rows.withColumns({"__low": F.lower("__u"), "__stem": F.lower(T.file_stem(F.col("__u"))), "__md5": F.substring(F.md5(F.col(url)), 1, 10)})
@@ -149,12 +191,17 @@ def local_images(urls: DataFrame, files: DataFrame, url: str = "url", name: str
         rows = rows.join(one, rows[column] == one[f"__k{i}"], "left").drop(f"__k{i}")
         found.append(f"__v{i}")
     rows = rows.withColumn("local", F.coalesce(*found)).drop(*found)
+    left = rows.filter("local IS NULL").select(F.col("__stem").alias("s"))
+    stems = f.select(F.lower(T.file_stem(F.col("__f"))).alias("s"), "__f")
+
+    def add(met: DataFrame, best: Column) -> DataFrame:
+        near = met.join(stems, met["y"] == stems["s"]).groupBy("x").agg(best.alias("__near"))
+        return rows.join(near, rows["__stem"] == near["x"], "left").withColumn("local", F.coalesce("local", "__near")).drop("x", "__near")
+
+    if contains:
+        rows = add(similar.containing(left.filter("length(s) > 5"), stems), F.min("__f"))
     if fuzzy is not None:
-        left = rows.filter("local IS NULL AND __stem <> ''").select(F.col(url).alias("__url"), "__stem").distinct()
-        near = left.join(f.withColumn("__fs", F.lower(T.file_stem(F.col("__f")))), F.substring("__stem", 1, 1) == F.substring("__fs", 1, 1))
-        near = near.withColumn("__r", M.substring_ratio(F.col("__stem"), F.col("__fs"))).filter(F.col("__r") > fuzzy)
-        near = near.groupBy("__url").agg(F.max_by("__f", F.struct("__r", "__f")).alias("__near"))
-        rows = rows.join(near, rows[url] == near["__url"], "left").withColumn("local", F.coalesce("local", "__near")).drop("__url", "__near")
+        rows = add(similar.common_substrings(left, stems, fuzzy), F.max_by("__f", F.struct("ratio", "__f")))
     return rows.drop("__u", "__low", "__stem", "__md5")
 
 

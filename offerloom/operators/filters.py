@@ -227,3 +227,9 @@ def checked_images(df: DataFrame, column: str, base: str, hosts: tuple[str, ...]
 def lookable(df: DataFrame) -> DataFrame:
     """Products that an image can be looked up for: with a name or a code."""
     return df.filter((F.col("product_name").isNotNull() & (F.col("product_name") != "")) | F.col("code").isNotNull())
+
+
+def sample_share(df: DataFrame, key: str, percent: float) -> DataFrame:
+    """About ``percent`` of the rows, the same ones in every run and on every cluster: those whose key's hash falls below the share. Null keys stay out."""
+    digits = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return df.filter(digits < F.lit(int(percent / 100 * 2**32)))

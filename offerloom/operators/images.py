@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import literals as L
 from ..functions import text as T
 from . import joins
 
@@ -37,8 +38,8 @@ def image_aliases(files: DataFrame) -> DataFrame:
 
 
 def as_image(value: Column, source: str) -> Column:
-    """An image struct of an address or of a struct's text in JSON; null for anything else."""
-    parsed = F.from_json(F.regexp_replace(value, "'", '"'), S.IMAGE)
+    """An image struct of an address or of a struct's text, as JSON or a Python literal; null for anything else."""
+    parsed = F.from_json(L.literal_json(value), S.IMAGE)
     plain = F.struct(*[(value if f.name == "url" else F.lit(source) if f.name == "source" else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.IMAGE.fields])
     return F.when(T.is_http(value), plain).when(value.startswith("{") & T.is_http(parsed["url"]), parsed)
 
@@ -100,8 +101,8 @@ def offer_image(offer: Column) -> Column:
 
 
 def flatten_image(image: Column) -> Column:
-    """An address nested in an address is lifted: text in JSON within ``url`` gives its own ``url``."""
-    inner = F.get_json_object(F.regexp_replace(image["url"], "'", '"'), "$.url")
+    """An address nested in an address is lifted: a struct's text within ``url`` gives its own ``url``."""
+    inner = F.get_json_object(L.literal_json(image["url"]), "$.url")
     return F.when(image["url"].startswith("{"), image.withField("url", inner)).otherwise(image)
 
 

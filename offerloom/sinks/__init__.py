@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -101,6 +103,56 @@ def write_split(df: DataFrame, folder: str, stem: str, at: datetime, kind: str =
     return paths
 
 
+def counted_write(df: DataFrame, write: Callable[[DataFrame], None], counts: dict[str, Column]) -> dict[str, int]:
+    """Runs ``write`` on ``df`` and returns how many rows it had and for how many each condition held, counted in the same pass as they are written."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(condition).alias(name) for name, condition in counts.items()]))
+    return {name: seen.get[name] for name in ("rows", *counts)}
+
+
+def both_tables(df: DataFrame, upload: Column | None = None) -> DataFrame:
+    """Rows of the result and of the upload in one frame, from one pass over ``df``.
+
+    ``table`` names the layout, ``r0, r1, ...`` are the result's columns and ``u0, u1, ...`` the upload's, null in rows of the other. Only rows that
+    ``upload``, a condition on our names, holds for have an upload row.
+    """
+    frame = image_urls(result_frame(df))
+    marked = frame.withColumn("__in", F.lit(True) if upload is None else F.coalesce(upload, F.lit(False)))
+    cells = placeholder(frame).columns
+    text = {f.name: plain(F.col(f.name)) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string") for f in frame.schema.fields}
+    result = {c: text[c] if c in S.IMAGES else F.when(text[c].isNull() | (text[c] == ""), "-").otherwise(text[c]) for c in cells}
+    reduced = {c: F.coalesce(plain(N.to_number(F.col(c))) if c in S.NUMERIC else F.col(c).cast("string"), F.lit("")) for c in S.UPLOAD_COLUMNS}
+    tables = marked.withColumn("table", F.explode(F.when(F.col("__in"), F.array(F.lit("result"), F.lit("upload"))).otherwise(F.array(F.lit("result")))))
+    own = lambda cells, table, letter: [F.when(F.col("table") == table, c).alias(f"{letter}{i}") for i, c in enumerate(cells.values())]
+    return tables.select("table", *own(result, "result", "r"), *own(reduced, "upload", "u"))
+
+
+def write_pair(df: DataFrame, folder: str, stem: str, at: datetime, upload: Column | None = None) -> str:
+    """Writes result and upload in one job and returns where. Its manifest, ``<path>.manifest.json``, is put in place last, by a rename.
+
+    The manifest holds the layouts and the rows of each table, counted as they were written. A run that fails leaves no manifest, and :func:`read_pair` reads nothing without one.
+    """
+    path = f"{folder}/{output_name(stem, 'pair', at)}"
+    counts = counted_write(both_tables(df, upload), lambda t: t.write.partitionBy("table").parquet(path), {t: F.col("table") == t for t in ("result", "upload")})
+    manifest = {"rows": {t: counts[t] for t in ("result", "upload")}, "result": list(S.RESULT_COLUMNS.values()), "upload": list(S.UPLOAD_COLUMNS.values())}
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    made, final = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in (".manifest.tmp", ".manifest.json"))
+    store = final.getFileSystem(conf)
+    out = store.create(made, True)
+    out.write(bytearray(json.dumps(manifest, ensure_ascii=False).encode()))
+    out.close()
+    if not store.rename(made, final):
+        raise FileExistsError(f"{path}.manifest.json")
+    return path
+
+
+def read_pair(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """``result`` or ``upload`` of a finished :func:`write_pair`, under its external names."""
+    told = spark.read.text(f"{path}.manifest.json", wholetext=True).first()
+    names = json.loads(told[0])[table]
+    return spark.read.parquet(path).filter(F.col("table") == table).select(*[F.col(f"{table[0]}{i}").alias(n) for i, n in enumerate(names)])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Plain CSV with a header; arrays and maps as JSON."""
     nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}

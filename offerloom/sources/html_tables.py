@@ -185,6 +185,15 @@ def tiers_of(html: str | None) -> tuple[dict[int, int], bool, str | None]:
     return {}, excluded, None
 
 
+def all_detectors(html: str | None) -> list[tuple[str, dict[int, int]]]:
+    """Each detector that finds tiers, in order of priority, with those of the best table for it."""
+    tables, inputs = parse(html)
+    ranked = sorted(tables, key=lambda t: -table_score(t))
+    out = [(detect.__name__, next((found for t in ranked if (found := detect(t))), {})) for detect in DETECTORS]
+    out += [("by_inputs", by_inputs(inputs)), ("from_numbers", from_numbers([n for t in tables for r in t for c in r if (n := number(c))]))]
+    return [(name, found) for name, found in out if found]
+
+
 def price_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``tiers`` (rising quantity), ``tax_excluded`` and ``detector``. A page without a table has no tiers."""
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions import literals as L
 from ..functions import text as TX
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -149,25 +150,38 @@ def image_files(spark: SparkSession, path: str, modified_after: str | None = Non
     return r.load(path).select("path", "length", "modificationTime")
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def literal_map(cells: pd.Series) -> pd.Series:
-    """Cells that hold a mapping as a literal with single quotes and None; null for anything else."""
-    import ast
+def recent(df: DataFrame, after: Column | str | None = None, before: Column | str | None = None, least_bytes: int = 0, name: str | None = None) -> DataFrame:
+    """``df``, read from files of any kind, with ``file, file_bytes, file_time`` of the file of each row; only files last changed at or after ``after`` and
+    before ``before``, of ``least_bytes`` at least, and whose name fits the regular expression ``name``. Lock files (``~$``) are passed over.
 
-    out = []
-    for c in cells:
-        try:
-            v = ast.literal_eval(c) if c else None
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            v = None
-        out.append({str(k): None if x is None else str(x) for k, x in v.items()} if isinstance(v, dict) else None)
-    return pd.Series(out, dtype=object)
+    The conditions are on the hidden file columns, so files that fail them are left out when the scan is planned and never opened.
+    """
+    m = lambda c: F.col(f"_metadata.{c}")
+    time = lambda t: F.lit(t).cast("timestamp") if isinstance(t, str) else t
+    out = df.filter(~m("file_name").startswith("~$")).filter(m("file_size") >= least_bytes)
+    if after is not None:
+        out = out.filter(m("file_modification_time") >= time(after))
+    if before is not None:
+        out = out.filter(m("file_modification_time") < time(before))
+    if name is not None:
+        out = out.filter(m("file_name").rlike(name))
+    return out.select("*", m("file_name").alias("file"), m("file_size").alias("file_bytes"), m("file_modification_time").alias("file_time"))
+
+
+def last_days(df: DataFrame, days: int, now: str | None = None, **more) -> DataFrame:
+    """:func:`recent` for the last ``days`` days before ``now``, a timestamp in text, else the present."""
+    end = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return recent(df, after=end - F.make_dt_interval(F.lit(days)), **more)
 
 
 def tiers_of_row(df: DataFrame, raw: str = "tiers_json", quantity: str = "k_qty", price: str = "k_price") -> DataFrame:
-    """``tiers`` as a map: of a JSON cell of quantities and prices, else of single quantity and price, else null."""
-    parsed = F.from_json(F.regexp_replace(F.regexp_replace(F.col(raw), "'", '"'), "None", "null"), "map<string,struct<price:double,price_with_vat:double>>")
+    """``tiers`` as a map: of a cell that holds quantities and prices as JSON or a Python literal, else of single quantity and price, else null.
+
+    A tier's price is a number or a struct with the field ``price``.
+    """
+    parsed = L.literal_map(F.col(raw))
     whole = F.map_filter(parsed, lambda k, v: k.rlike("^[0-9]+$"))
-    made = F.transform_values(F.transform_keys(whole, lambda k, v: k.cast("int")), lambda k, v: v["price"])
+    priced = F.transform_values(F.transform_keys(whole, lambda k, v: k.cast("int")), lambda k, v: F.coalesce(v.try_cast("double"), F.get_json_object(v, "$.price").try_cast("double")))
+    made = F.map_filter(priced, lambda k, v: v.isNotNull())
     single = F.when(F.col(quantity).isNotNull() & F.col(price).isNotNull(), F.create_map(F.col(quantity).cast("int"), F.col(price).cast("double")))
     return df.withColumn("tiers", F.coalesce(F.when(F.size(made) > 0, made), single))

@@ -12,7 +12,7 @@ from offerloom.functions import pricing as P
 from offerloom.functions import similarity as M
 from offerloom.functions import text as T
 from offerloom.operators import filters, joins, ranking
-from offerloom.plans import cells, market, registry, search  # noqa: F401  (they register their queries)
+from offerloom.plans import cells, inputs, market, registry, search  # noqa: F401  (they register their queries)
 from offerloom.sources import html_tables
 
 SF = "/root/testdata/sf0.001"

@@ -1,6 +1,6 @@
 """Price tables of pages as a table function: a page in, its tiers out as rows.
 
-``SELECT p.page_id, t.* FROM pages p, LATERAL price_tiers(p.html) t`` after :func:`register`. A page without tiers gives no rows; with ``LEFT JOIN LATERAL`` it stays.
+``SELECT p.page_id, t.* FROM pages p, LATERAL price_tiers(p.html) t`` after :func:`register`. A page without tiers gives no rows.
 """
 
 from __future__ import annotations

@@ -119,6 +119,22 @@ def text_similarity(a: Column, b: Column, model: Column, tfidf: Column | None =
     return F.when(blank, 0.0).when(x == y, 1.0).otherwise(parts)
 
 
+def with_text_similarity(df: DataFrame, a: str, b: str, out: str, model: Column | None = None, tfidf: Column | None = None) -> DataFrame:
+    """``df`` with :func:`text_similarity` of two columns as ``out``, its parts staged so that each name is cleaned and cut once a row.
+
+    Names that clean to the same text are not handed to Python.
+    """
+    staged = df.withColumns({"__x": T.clean_text(F.col(a)), "__y": T.clean_text(F.col(b))})
+    staged = staged.withColumns({"__tx": T.name_tokens(F.col("__x")), "__ty": T.name_tokens(F.col("__y"))})
+    differ = F.col("__x") != F.col("__y")
+    staged = staged.withColumns({"__t": token_similarity(F.col("__tx"), F.col("__ty")), "__n": number_score(F.col("__x"), F.col("__y")), "__f": fuzzy_ratio(F.when(differ, F.col("__x")), F.when(differ, F.col("__y")))})
+    w = TEXT_WEIGHTS
+    parts = (F.lit(0.0) if model is None else model) * w["model"] + F.col("__t") * w["token"]
+    parts = parts + F.col("__f") * w["fuzzy"] + (F.lit(0.0) if tfidf is None else tfidf) * w["tfidf"] + F.col("__n") * w["number"]
+    blank = F.coalesce(F.trim(a) == "", F.lit(True)) | F.coalesce(F.trim(b) == "", F.lit(True))
+    return staged.withColumn(out, F.when(blank, 0.0).when(~differ, 1.0).otherwise(parts)).drop("__x", "__y", "__tx", "__ty", "__t", "__n", "__f")
+
+
 def fallback_text_similarity(model: Column, a: Column, b: Column) -> Column:
     """Seven tenths of the model's cosine and three of the shared words over the larger set, between 0 and 1."""
     x, y = F.array_distinct(T.words(F.lower(a))), F.array_distinct(T.words(F.lower(b)))

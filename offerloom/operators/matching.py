@@ -10,11 +10,17 @@ from ..functions import similarity as M
 from . import joins, ranking
 
 
+def with_images(rows: DataFrame, thresholds: S.Thresholds | None = None) -> DataFrame:
+    """Candidates with a name and two images that are similar enough: what can be said before names are compared."""
+    t = thresholds or S.Thresholds()
+    named = rows.filter(F.coalesce(F.col("name"), F.lit("")) != "")
+    return named.filter(F.col("base_image").isNotNull() & F.col("image_path").isNotNull() & (F.col("image_sim") >= t.image_floor))
+
+
 def passes(scored: DataFrame, source: str, t: S.Thresholds) -> DataFrame:
     """Candidates with a name, enough similarity of text, and two images that are similar enough, with ``combined``."""
     wt, wi = t.weights[source]
-    ok = scored.filter((F.coalesce(F.col("name"), F.lit("")) != "") & (F.col("text_sim") >= t.text_floor[source]))
-    ok = ok.filter(F.col("base_image").isNotNull() & F.col("image_path").isNotNull() & (F.col("image_sim") >= t.image_floor))
+    ok = with_images(scored, t).filter(F.col("text_sim") >= t.text_floor[source])
     return ok.withColumn("combined", F.col("text_sim") * wt + F.col("image_sim") * wi)
 
 

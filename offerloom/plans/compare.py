@@ -11,51 +11,64 @@ from ..functions import text as T
 from ..operators import filters, joins, matching, ranking
 
 
-def scored_offers(products: DataFrame, offers: DataFrame, model: str | None = None) -> DataFrame:
-    """Products beside their offers with the text score. ``model`` names a column with the cosine of the names' embeddings; without it that part is 0.
+def candidates(products: DataFrame, offers: DataFrame) -> DataFrame:
+    """Products beside their offers, without a text score: by ``product_id``, the product's ``ordinal``, if the offers have it, else by trimmed name.
 
-    ``image_sim`` is taken from the offers if they have it, else it is the constant of a hash match, or 0.
+    ``image_sim`` is taken from the offers if they have it, else it is the constant of a hash match, or 0. What later steps need of the product comes along.
     """
-    p = products.select(F.col("ordinal").alias("product_id"), "product_name", F.col("base_price").cast("double").alias("base_price"), F.col("base_image"), T.name_hash(F.col("product_name")).alias("base_hash"))
-    o = offers.withColumnRenamed("product_name", "__for")
-    both = p.join(o, F.trim(p["product_name"]) == F.trim(o["__for"])).drop("__for")
-    both = both.withColumn("text_sim", M.text_similarity(F.col("product_name"), F.col("name"), F.col(model) if model else F.lit(0.0)))
+    p = products.select(
+        F.col("ordinal").alias("product_id"), "product_name", F.col("base_price").cast("double").alias("base_price"), F.col("base_image"), F.col("base_qty").try_cast("int").alias("base_qty"),
+        T.name_hash(F.col("product_name")).alias("base_hash"),
+    )
+    if "product_id" in offers.columns:
+        both = p.join(offers.drop("product_name"), "product_id")
+    else:
+        o = offers.withColumnRenamed("product_name", "__for")
+        both = p.join(o, F.trim(p["product_name"]) == F.trim(o["__for"])).drop("__for")
     if "image_sim" not in offers.columns:
         both = both.withColumn("image_sim", F.when(T.file_hash(F.col("image_path")) == F.col("base_hash"), 0.95).otherwise(0.0))
     return both
 
 
-def offer_side(matches: DataFrame, products: DataFrame, source: str, first: DataFrame | None) -> DataFrame:
-    """The columns of one competitor for each product: of the best match, or of the first offer where ``first`` is given."""
-    got = first if first is not None else matches
+def with_text(rows: DataFrame, model: str | None = None) -> DataFrame:
+    """Candidates with their text score. ``model`` names a column with the cosine of the names' embeddings; without it that part is 0."""
+    return M.with_text_similarity(rows, "product_name", "name", "text_sim", F.col(model) if model else None)
+
+
+def scored_offers(products: DataFrame, offers: DataFrame, model: str | None = None) -> DataFrame:
+    return with_text(candidates(products, offers), model)
+
+
+def offer_side(got: DataFrame, source: str, rounding: str) -> DataFrame:
+    """The columns of one competitor for each product, of one candidate for each."""
     tiers = F.col("tiers") if "tiers" in got.columns else F.lit(None).cast("map<int,double>")
-    q = products.select(F.col("ordinal").alias("product_id"), F.col("base_qty").try_cast("int").alias("__q"), F.col("base_price").cast("double").alias("__b"))
-    got = got.drop("base_price").join(q, "product_id")
-    at = P.tier(tiers, F.col("__q"), "ceil")
+    at = P.tier(tiers, F.col("base_qty"), "ceil")
     price = P.with_tax(F.coalesce(at["value"], F.col("price").cast("double")), F.col("tax_included") if "tax_included" in got.columns else None)
-    got = got.withColumns({"__qty": F.coalesce(at["quantity"], F.col("__q")), "__price": price})
-    cut = "trunc" if first is not None else "even"
+    got = got.withColumns({"__qty": F.coalesce(at["quantity"], F.col("base_qty")), "__price": price})
     return got.select(
-        "product_id", F.col("__qty").alias(f"{source}_qty"), F.col("__price").alias(f"{source}_price"), P.difference(F.col("__b"), F.col("__price")).alias(f"{source}_diff"),
-        P.percent(F.col("__b"), F.col("__price"), cut).cast("double").alias(f"{source}_diff_pct"), F.col("link").alias(f"{source}_link"), F.col("supplier").alias(f"{source}_supplier"),
-        F.col("image_path").alias(f"{source}_image"), *([F.col("text_sim").alias(f"{source}_text_sim"), F.col("image_sim").alias(f"{source}_image_sim")] if "text_sim" in got.columns else []),
+        "product_id", F.col("__qty").alias(f"{source}_qty"), F.col("__price").alias(f"{source}_price"), P.difference(F.col("base_price"), F.col("__price")).alias(f"{source}_diff"),
+        P.percent(F.col("base_price"), F.col("__price"), rounding).cast("double").alias(f"{source}_diff_pct"), F.col("link").alias(f"{source}_link"), F.col("supplier").alias(f"{source}_supplier"),
+        F.col("image_path").alias(f"{source}_image"), F.col("text_sim").alias(f"{source}_text_sim"), F.col("image_sim").alias(f"{source}_image_sim"),
     )
 
 
 def compare(products: DataFrame, k: DataFrame, n: DataFrame, offer_policy: str = "best", model: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(result, upload)`` rows under our names.
 
-    ``products``: the required columns with ``ordinal`` and ``base_image``. Offers: ``product_name, ordinal, name, price, link, supplier, image_path`` and, if they
+    ``products``: the required columns with ``ordinal`` and ``base_image``. Offers: ``product_name`` or ``product_id``, ``ordinal, name, price, link, supplier, image_path`` and, if they
     have them, ``image_sim``, ``tiers`` (quantity to price) and ``tax_included``. ``offer_policy`` ``best`` shows the best match's offer, ``first`` the first offer of each name.
-    Result keeps every product; groups without gain are cleared. Upload holds the products that a competitor undercuts.
+    Names are compared last: only of offers that have a chance by their images, or of the first ones. Result keeps every product; groups without gain are cleared. Upload holds the
+    products that a competitor undercuts.
     """
     out = products
     for s, offers in (("k", k), ("n", n)):
-        scored = scored_offers(products, offers, model)
+        found = candidates(products, offers)
         if offer_policy == "first":
-            side = offer_side(scored, products, s, ranking.best(scored.withColumn("__one", F.lit(1.0)), ["product_id"], "__one", "ordinal").drop("__one"))
+            top = ranking.best(found.withColumn("__one", F.lit(1.0)), ["product_id"], "__one", "ordinal").drop("__one")
+            side = offer_side(with_text(top, model), s, "trunc")
         else:
-            side = offer_side(matching.best_match(scored, s), products, s, None)
+            likely = matching.with_images(joins.hash_or_all(found, ["product_id"], "base_hash", "image_path"))
+            side = offer_side(matching.best_match(with_text(likely, model), s, by_hash=False), s, "even")
         out = out.join(side.withColumnRenamed("product_id", "ordinal"), "ordinal", "left")
     out = filters.clear_unfavourable(out)
     out = filters.clear(out, F.col("n_image").isNull(), filters.N_GROUP)

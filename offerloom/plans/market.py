@@ -15,7 +15,7 @@ from ..functions import similarity as M
 from ..functions import text as T
 from ..operators import aggregates, filters, images, joins, matching, ranking
 from . import compare
-from .registry import query, table
+from .registry import BLOCKS, query, table
 
 
 def hash_sql(name: str) -> str:
@@ -587,3 +587,50 @@ def compared_result(spark, sf_dir):
 @query(f"WITH {COMPARED} SELECT {COMPARED_COLUMNS} FROM r WHERE (coalesce(k_diff < -1, false) OR coalesce(n_diff < -1, false)) AND (k_diff IS NULL OR k_diff < -1) AND (n_diff IS NULL OR n_diff < -1)")
 def compared_upload(spark, sf_dir):
     return _compared(spark, sf_dir)[1].select(*COMPARED_COLUMNS.split(", "))
+
+
+# ---------------------------------------------------------------- the same where names differ and decide
+NAMED_OFFER = (
+    "p_name || ' TS-' || product_id || 'C 세트' AS product_name, ordinal, CASE ordinal % 6 WHEN 0 THEN p_name || ' 세트 TS-' || product_id || 'C' WHEN 1 THEN p_name || ' (' || ordinal || ')' WHEN 2 THEN 'other thing ' || ordinal "
+    "WHEN 3 THEN p_name || ' TS-' || product_id || 'c 세트' WHEN 4 THEN NULL ELSE split_part(p_name, ' ', 2) || ' TS-' || product_id END AS name, price, 'https://shop.example/' || ordinal AS link, 'seller ' || ordinal AS supplier, "
+    "'img/' || ordinal || '.jpg' AS image_path, CAST(80 + (ordinal * 7 + product_id) % 20 AS DOUBLE) / CAST(100 AS DOUBLE) AS image_sim, CAST((ordinal * 13 + product_id) % 50 AS DOUBLE) / CAST(50 AS DOUBLE) AS model_sim"
+)
+
+
+def _text_sql() -> str:
+    """The text score of ``so`` as ``ts``: cleaned names, tokens, numbers and the block ratio of distinct pairs."""
+    return (
+        f"cl AS (SELECT *, {clean_sql('product_name')} AS x, {clean_sql('name')} AS y FROM so), w AS (SELECT DISTINCT x AS a, y AS b FROM cl WHERE x <> y AND x <> '' AND y <> ''), {BLOCKS}, "
+        f"tk AS (SELECT cl.*, coalesce(ratio, 0) AS ratio, {tokens_sql('x')} AS tx, {tokens_sql('y')} AS ty, list_distinct(regexp_extract_all(x, '[0-9]+')) AS nx, list_distinct(regexp_extract_all(y, '[0-9]+')) AS ny FROM cl LEFT JOIN ratios ON a = x AND b = y), "
+        "sc AS (SELECT *, len(list_intersect(list_distinct(tx), list_distinct(ty)))::DOUBLE AS c, len(tx) AS n, len(ty) AS m, len(list_distinct(list_concat(tx, ty))) AS u, CASE WHEN len(nx) = 0 AND len(ny) = 0 THEN 0.5::DOUBLE WHEN len(nx) = 0 OR len(ny) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(nx, ny))::DOUBLE / len(list_distinct(list_concat(nx, ny))) END AS num FROM tk), "
+        "ts AS (SELECT *, CASE WHEN coalesce(trim(name), '') = '' THEN 0.0::DOUBLE WHEN x = y THEN 1.0::DOUBLE ELSE model_sim * 0.55::DOUBLE + (CASE WHEN n > 0 AND m > 0 THEN 0.5::DOUBLE * (c / u) + 0.5::DOUBLE * (CASE WHEN n > m THEN 0.7::DOUBLE * (c / n) + 0.3::DOUBLE * (c / m) ELSE 0.3::DOUBLE * (c / n) + 0.7::DOUBLE * (c / m) END) ELSE 0.0::DOUBLE END) * 0.2::DOUBLE "
+        "+ ratio * 0.1::DOUBLE + num * 0.05::DOUBLE END AS text_sim FROM sc)"
+    )
+
+
+def _named_side_sql(s: str, rest: int) -> str:
+    wt, wi, floor = {"k": (0.6, 0.4, 0.2), "n": (0.7, 0.3, 0.3)}[s]
+    far = "coalesce(base_price > 0 AND price > 0 AND abs(price - base_price) / base_price * 100 > 70, false)"
+    more = f" WHERE combined >= 0.35::DOUBLE AND NOT ({far} AND combined < 0.55::DOUBLE)" if s == "n" else ""
+    return (
+        f"{s}s AS (SELECT *, text_sim * {wt}::DOUBLE + image_sim * {wi}::DOUBLE AS combined FROM ts WHERE ordinal % 2 = {rest} AND name <> '' AND image_sim >= 0.8::DOUBLE AND text_sim >= {floor}::DOUBLE), "
+        f"{s}b AS (SELECT * FROM {s}s QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY round(combined, 9) DESC, ordinal) = 1), {s} AS (SELECT product_id, name AS {s}_name, round(text_sim, 6) AS {s}_text_sim, link AS {s}_link FROM {s}b{more})"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {OFFERS}, so AS (SELECT product_id, base_price, {NAMED_OFFER} FROM lines JOIN products USING (product_id)), {_text_sql()}, {_named_side_sql('k', 0)}, {_named_side_sql('n', 1)} "
+    "SELECT product_id, k_name, k_text_sim, k_link, n_name, n_text_sim, n_link FROM products LEFT JOIN k USING (product_id) LEFT JOIN n USING (product_id)"
+)
+def matched_by_text(spark, sf_dir):
+    """The best match of each competitor where offers have names of their own: model, token, block, and number scores decide."""
+    p = products(spark, sf_dir)
+    own = p.select(F.col("product_id").alias("ordinal"), F.concat(F.col("p_name"), F.lit(" TS-"), F.col("product_id").cast("string"), F.lit("C 세트")).alias("product_name"), "base_qty", "base_price", F.lit("base.jpg").alias("base_image"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 0").groupBy(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("ordinal")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    offers = spark.sql(f"SELECT product_id, {NAMED_OFFER} FROM {{sides}}", sides=lines.join(p, "product_id"))
+    out = own.select(F.col("ordinal").alias("product_id"))
+    for s, rest in (("k", 0), ("n", 1)):
+        found = compare.with_text(matching.with_images(compare.candidates(own, offers.filter(F.col("ordinal") % 2 == rest))), "model_sim").withColumn("text_sim", F.round("text_sim", 12))
+        best = matching.best_match(found, s, by_hash=False)
+        out = out.join(best.select("product_id", F.col("name").alias(f"{s}_name"), F.round("text_sim", 6).alias(f"{s}_text_sim"), F.col("link").alias(f"{s}_link")), "product_id", "left")
+    return out

@@ -5,9 +5,10 @@ segments as there are pages, on the host itself or on all hosts that have such a
 looked at again, since branches that fall together have more pages. What the rules decide labels the pages they fit. Sibling branches of a host whose
 share of blocked pages can't be told from their parent's by a test are one branch, those above it another, and those below it a third.
 
-A template's purity is the share of blocked pages in its branch, smoothed towards that of the same template on all hosts of the top-level
-domain, which is smoothed towards that on all hosts, and that towards the share of all labelled pages. Each counts at the deepest place of the path that has labels.
-So a page without rule is judged by branches of its own host where there are labels, and by like templates elsewhere where there are none.
+A template's purity is the share of blocked pages in its branch, smoothed towards that of the same template on all sites of the top-level
+domain, which is smoothed towards that on all sites, and that towards the share of all labelled pages. Each counts at the deepest place of the path that has labels.
+So a page without rule is judged by branches of its own host where there are labels, and by like templates elsewhere where there are none. What a template is
+elsewhere counts by sites (the last two labels of a host), each by the share of its labelled pages, and only where several sites have labels: one site's rule says nothing about another site.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The last two labels of a host, without its port
+SITE = r"([^.:]*[.]?[^.:]*)(:[0-9]*)?$"
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -51,26 +54,28 @@ def _variable(levels: DataFrame, keys: list[str], kids: int) -> DataFrame:
     return children.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") >= kids) & (F.col("c") * 2 >= F.col("n"))).select(*keys)
 
 
-def templates(paths: DataFrame, kids: int, rounds: int, held: Scratch) -> DataFrame:
-    """``paths(host, raw, n, b, m, t)`` with the variable segments of ``t`` as ``*``."""
-    for _ in range(rounds):
+def templates(paths: DataFrame, kids: int, held: Scratch) -> DataFrame:
+    """``paths(host, raw, n, b, m, t)`` with the variable segments of ``t`` as ``*``. Looked at again until no segment changes: each time one does for good, so paths bound the rounds."""
+    while True:
         levels = held(_levels(paths), "levels")
         own = _variable(levels, ["host", "parent"], kids).withColumn("own", F.lit(True))
         shared = _variable(levels, ["parent"], kids).withColumn("shared", F.lit(True))
         marked = levels.join(own, ["host", "parent"], "left").join(shared, "parent", "left")
-        word = F.when(F.col("own").isNotNull() | F.col("shared").isNotNull(), "*").otherwise(F.col("child"))
-        new = marked.groupBy("host", "raw").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", word.alias("w")))), lambda x: x["w"]).alias("new"))  # a path's segments
+        changed = held(marked.filter("(own OR shared) AND child <> '*'").select("host", "raw", "k"), "changed")
+        if changed.isEmpty():
+            return paths
+        new = changed.groupBy("host", "raw").agg(F.collect_set("k").alias("stars"))  # some of a path's segments
         joined = paths.join(new, ["host", "raw"], "left")
-        paths = held(joined.select("host", "raw", "n", "b", "m", F.coalesce("new", "t").alias("t")), "templates")
-    return paths
+        t = F.when(F.col("stars").isNull(), F.col("t")).otherwise(F.transform("t", lambda x, k: F.when(F.array_contains("stars", k), "*").otherwise(x)))
+        paths = held(joined.select("host", "raw", "n", "b", "m", t.alias("t")), "templates")
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, rounds: int = 3, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, sites: int = 3, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> DataFrame:
     """One row per row of ``pages``: ``page_id, host, path, rule, verdict, template, purity, scope``.
 
     ``verdict`` is the rule's where one fits, else ``block`` if ``purity`` reaches ``reject``, else ``allow``. ``scope`` says whose labels the purity
-    rests on: ``host``, ``domain`` (its top-level domain) or ``all``. Without any labelled page purity and scope are null. Segments nested in more than ``rounds`` variable
-    levels stay as they are. Only ``page_id`` and ``url`` are read. A null url has an empty host and path. An empty table gives none.
+    rests on: ``host``, ``domain`` (its top-level domain) or ``all``; null where only the share of all labelled pages is left. Without any labelled page purity is null too. Labels of
+    fewer than ``sites`` sites don't count elsewhere. Only ``page_id`` and ``url`` are read. A null url has an empty host and path. An empty table gives none.
     Statistics cover all pages; rows that repeat each count. Of rules of one length that fit the last by text wins.
     """
     held = Scratch()
@@ -84,12 +89,13 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, kids: in
     paths = held(paths.withColumn("t", F.filter(F.split("raw", "/"), lambda x: x != "")), "paths")
     total = paths.agg(F.sum("b"), F.sum("m")).first()
     prior = F.lit(total[0] / total[1] if total[1] else None).cast("double")
-    paths = templates(paths, kids, rounds, held)
+    paths = templates(paths, kids, held)
 
     domain = F.regexp_extract("host", r"([^.:]*)(:[0-9]*)?$", 1)
-    deep = paths.select("host", "raw", "b", "m", domain.alias("domain"), "t", F.explode(F.sequence(F.lit(0), F.size("t"))).alias("k"))
+    site = F.regexp_extract("host", SITE, 1)
+    deep = paths.select("host", "raw", "b", "m", domain.alias("domain"), site.alias("site"), "t", F.explode(F.sequence(F.lit(0), F.size("t"))).alias("k"))
     node = lambda k: F.array_join(F.slice("t", F.lit(1), k), "/")
-    deep = held(deep.select("host", "raw", "b", "m", "domain", "k", node(F.col("k")).alias("node"), node(F.greatest(F.col("k") - 1, F.lit(0))).alias("up")), "nodes")
+    deep = held(deep.select("host", "raw", "b", "m", "domain", "site", "k", node(F.col("k")).alias("node"), node(F.greatest(F.col("k") - 1, F.lit(0))).alias("up")), "nodes")
     sums = lambda df, *keys: df.filter("m > 0").groupBy(*keys).agg(F.sum("b").alias("nb"), F.sum("m").alias("nm"))
 
     # branches of a host: those that can't be told from their parent, those above and those below it
@@ -99,8 +105,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, kids: in
     own = own.join(parent, ["host", "up"]).withColumn("lean", F.when(gap > width, 1).when(-gap > width, -1).otherwise(0))
     pooled = own.groupBy("host", "up", "lean").agg(F.sum("nb").alias("hb"), F.sum("nm").alias("hm"))
     by_host = own.join(pooled, ["host", "up", "lean"]).select("host", "node", "hb", "hm")
-    by_domain = sums(deep.filter("k > 0"), "domain", "node").toDF("domain", "node", "db", "dm")
-    by_all = sums(deep, "node").toDF("node", "ab", "am")
+    # whole millionths, so that sums don't depend on their order
+    each = held(sums(deep.filter("k > 0"), "domain", "site", "node").select("domain", "node", F.round(F.col("nb") / F.col("nm") * 1e6).cast("long").alias("share")), "sites")
+    elsewhere = lambda *keys: each.groupBy(*keys).agg((F.sum("share") / 1e6).alias("b"), F.count("*").alias("m")).filter(F.col("m") >= sites)
+    by_domain = elsewhere("domain", "node").toDF("domain", "node", "db", "dm")
+    by_all = elsewhere("node").toDF("node", "ab", "am")
 
     found = deep.join(by_host, ["host", "node"], "left").join(by_domain, ["domain", "node"], "left").join(by_all, "node", "left")
     deepest = lambda b, m: F.max_by(F.when(F.col(m) > 0, F.struct(b, m)), F.when(F.col(m) > 0, F.col("k")))
@@ -115,8 +124,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, kids: in
     return rows.join(verdicts, ["host", "raw"]).select("page_id", "host", "path", "rule", says.alias("verdict"), "template", "purity", "scope")
 
 
-def judge_sql(rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, rounds: int = 3, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8) -> str:
-    """The same in DuckDB SQL."""
+def judge_sql(rules: tuple[tuple[str, str], ...] = RULES, kids: int = 8, sites: int = 3, z: float = 1.64, smooth: float = 2.0, reject: float = 0.8, rounds: int = 6) -> str:
+    """The same in DuckDB SQL, which can't go on until nothing changes: its ``rounds`` are more than the driver's tables need."""
     listed = ", ".join(f"('{v}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}', '{t}')" for v, t in rules)
     steps = ""
     for r in range(1, rounds + 1):
@@ -147,15 +156,16 @@ ruled AS (
 marked AS (SELECT page_id, host, path, r.rule AS rule, r.says AS says, s, array_to_string(s, '/') AS raw FROM ruled),
 p0 AS (SELECT host, raw, s AS t, count(*) AS n, count(*) FILTER (says = 'block') AS b, count(says) AS m FROM marked GROUP BY ALL),{steps}
 nodes AS (
-  SELECT host, raw, b, m, regexp_extract(host, '([^.:]*)(:[0-9]*)?$', 1) AS domain, k, array_to_string(t[1:k], '/') AS node, array_to_string(t[1:greatest(k - 1, 0)], '/') AS up
+  SELECT host, raw, b, m, regexp_extract(host, '([^.:]*)(:[0-9]*)?$', 1) AS domain, regexp_extract(host, '{SITE}', 1) AS site, k, array_to_string(t[1:k], '/') AS node, array_to_string(t[1:greatest(k - 1, 0)], '/') AS up
   FROM (SELECT *, unnest(range(0, len(t) + 1)) AS k FROM p{rounds})),
 own AS (SELECT host, up, node, sum(b) AS nb, sum(m) AS nm FROM nodes WHERE k > 0 AND m > 0 GROUP BY ALL),
 leant AS (
   SELECT *, CASE WHEN nb / nm - rate > width THEN 1 WHEN rate - nb / nm > width THEN -1 ELSE 0 END AS lean
   FROM (SELECT *, {z}::DOUBLE * sqrt(rate * (1 - rate) / nm) AS width FROM (SELECT *, sum(nb) OVER (PARTITION BY host, up) / sum(nm) OVER (PARTITION BY host, up) AS rate FROM own))),
 by_host AS (SELECT host, node, sum(nb) OVER same AS hb, sum(nm) OVER same AS hm FROM leant WINDOW same AS (PARTITION BY host, up, lean)),
-by_domain AS (SELECT domain, node, sum(b) AS db, sum(m) AS dm FROM nodes WHERE k > 0 AND m > 0 GROUP BY ALL),
-by_all AS (SELECT node, sum(b) AS ab, sum(m) AS am FROM nodes WHERE m > 0 GROUP BY ALL),
+each AS (SELECT domain, node, round(sum(b) / sum(m) * 1e6)::BIGINT AS share FROM nodes WHERE k > 0 AND m > 0 GROUP BY domain, site, node),
+by_domain AS (SELECT domain, node, sum(share)::BIGINT / 1e6 AS db, count(*) AS dm FROM each GROUP BY domain, node HAVING count(*) >= {sites}),
+by_all AS (SELECT node, sum(share)::BIGINT / 1e6 AS ab, count(*) AS am FROM each GROUP BY node HAVING count(*) >= {sites}),
 found AS (
   SELECT host, raw, {deepest("hb", "hm")} AS h, {deepest("db", "dm")} AS d, {deepest("ab", "am")} AS a, max_by(node, k) AS template
   FROM nodes LEFT JOIN by_host USING (host, node) LEFT JOIN by_domain USING (domain, node) LEFT JOIN by_all USING (node) GROUP BY host, raw),

@@ -75,7 +75,7 @@ def test_tree_judges_hosts_without_rules(spark):
     held = [r for r in got if int(r.host.removeprefix("www.")[1:-4]) >= 30]
     assert {r.rule for r in held} == {None} and {r.template for r in held} == {"/es/*", "/en/*", "/de/*"}
     right = [r.verdict == ("block" if r.path.startswith("/es/") else "allow") for r in held]
-    assert sum(right) == len(held) == 120 and {r.scope for r in held} == {"domain", "all"}
+    assert sum(right) == len(held) == 120 and {r.scope for r in held} == {"domain", None}
 
 
 def test_tree_is_as_deep_as_the_paths(spark):

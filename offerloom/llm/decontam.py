@@ -261,7 +261,7 @@ def search(index: Index, texts: list[str | None], least: int, enough: int, codes
                 continue
             odd = strays(slots)
             matched = len(covered) - odd
-            if matched >= need or 2 * odd <= len(slots):
+            if matched >= need or 4 * odd <= len(slots):
                 x = (matched, "verbatim" if all(was == now for was, now in slots.values()) else "changed")
                 best = x if best is None else max(best, x)
         if best:
@@ -270,11 +270,18 @@ def search(index: Index, texts: list[str | None], least: int, enough: int, codes
 
 
 def strays(slots: dict[int, tuple[str, str]]) -> int:
-    """How many places hold another value than the one that most often stands for theirs."""
-    became: dict[str, Counter] = {}
-    for was, now in slots.values():
-        became.setdefault(was, Counter())[now] += 1
-    return len(slots) - sum(max(c.values()) for c in became.values())
+    """How many places break the exchange of values: each of the item's values stands for one value, and each value for one of the item's.
+
+    Pairs are taken by how many places hold them, the most frequent first, as long as neither side is taken.
+    """
+    counts = Counter(slots.values())
+    was, now, kept = set(), set(), 0
+    for (a, b), n in sorted(counts.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0])):
+        if a not in was and b not in now:
+            was.add(a)
+            now.add(b)
+            kept += n
+    return len(slots) - kept
 
 
 def _neighbours(placed: list[tuple], reach: int = 4) -> Iterator[list[tuple]]:
@@ -293,8 +300,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5
     words (or the whole shorter item) that match with at least ``least`` literal words each, and goes on as far as the words beyond match.
     A capitalised word where a sentence starts is taken as a word and as a name; names in a row are one place, and so are numbers.
     The item's own tokens, ``window`` in a row or all of a shorter item, match too, whatever they are: so copies of items of numbers or names are found. ``kind`` is ``verbatim`` if the places hold the
-    item's own values (in any case of letters) and ``changed`` otherwise. Places whose value differs from the one that most often stands for theirs
-    don't count as matched; with fewer than ``enough`` words besides, half the places must agree. Null and empty texts match nothing; rows that repeat each count, a ``doc_id`` that is
+    item's own values (in any case of letters) and ``changed`` otherwise. Values must be exchanged one for one: places that
+    break this (:func:`strays`) don't count as matched; with fewer than ``enough`` words besides, three quarters of the places must keep to it, since small numbers also agree by chance. Null and empty texts match nothing; rows that repeat each count, a ``doc_id`` that is
     null stays null; an empty table on either side gives none. The longest match of a document and an item is reported, on ties the verbatim one.
     """
     spark = docs.sparkSession

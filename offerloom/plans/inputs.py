@@ -9,10 +9,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
+from .. import sinks
 from ..functions import literals as L
 from ..operators import filters, images, joins
 from ..sources import readers, tier_function
-from .registry import query, table
+from .registry import COMPARISON, comparison, query, table
 
 
 def made(template: str, **columns: str) -> str:
@@ -149,3 +151,69 @@ def search_items(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").selectExpr("cast(l_partkey AS string) AS query", f"{w} - 1 AS i", "l_orderkey || '-' || l_linenumber AS title")
     pages = items.groupBy("query", F.expr("cast(i div 3 + 1 AS int)").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda x: F.create_map(F.lit("title"), x["title"])).alias("items"))
     return readers.search_pages(pages, max_items=8, page_size=3).select("query", F.col("ordinal").cast("int").alias("ordinal"), F.col("item")["title"].alias("title"))
+
+
+# ---------------------------------------------------------------- images of offers and products
+FIELDS = "CASE WHEN p_partkey % 3 = 0 THEN 'http://i/' || p_partkey || '.PNG' WHEN p_partkey % 3 = 1 THEN '' END AS image_url, CASE WHEN p_partkey % 4 = 1 THEN 'x/' || p_partkey || '.txt' END AS image_path, 'http://s/' || p_partkey || '.webp' AS src"
+
+
+@query(
+    f"WITH f AS (SELECT p_partkey, {FIELDS} FROM part), g AS (SELECT p_partkey, coalesce(nullif(image_url, ''), nullif(image_path, ''), nullif(src, '')) AS got FROM f) "
+    "SELECT p_partkey, CASE WHEN regexp_matches(got, '(?i)\\.(jpe?g|png|gif|webp)') THEN got END AS image FROM g"
+)
+def offer_images(spark, sf_dir):
+    rows = spark.sql(f"SELECT p_partkey, {FIELDS} FROM {{part}}", part=table(spark, sf_dir, "part"))
+    return rows.select("p_partkey", images.offer_image(F.struct("image_url", "image_path", "src")).alias("image"))
+
+
+ROW = (
+    "p_partkey AS ordinal, CASE WHEN p_partkey % 2 = 0 THEN 'http://k/' || p_partkey END AS k_link, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS k_price, CASE WHEN p_partkey % 5 = 0 THEN 'http://b/' || p_partkey END AS base_image, "
+    "CASE WHEN p_partkey % 7 = 0 THEN 'http://ki/' || p_partkey END AS k_image, CAST(NULL AS VARCHAR(9)) AS n_image"
+)
+MATCHED = "p_partkey AS ordinal, 'f/base_' || p_partkey AS base, CASE WHEN p_partkey % 11 > 0 THEN 'f/k_' || p_partkey END AS k, 'f/n_' || p_partkey AS n"
+
+
+@query(
+    f"WITH r AS (SELECT {ROW} FROM part), m AS (SELECT {MATCHED} FROM part WHERE p_size > 5) SELECT r.ordinal, coalesce(base_image, base) AS base_image, "
+    "CASE WHEN k_link IS NOT NULL OR k_price IS NOT NULL THEN coalesce(k_image, k) END AS k_image, coalesce(n_image, n) AS n_image FROM r LEFT JOIN m USING (ordinal)"
+)
+def applied_images(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    rows = spark.sql(f"SELECT {ROW} FROM {{part}}", part=part)
+    matched = spark.sql(f"SELECT {MATCHED} FROM {{part}} WHERE p_size > 5", part=part)
+    return images.apply_images(rows, matched).select("ordinal", "base_image", "k_image", "n_image")
+
+
+ALIASED = "'dir' || (p_partkey % 3) || '/Kogift_' || substr(md5(p_name), 1, 12) || CASE WHEN p_partkey % 2 = 0 THEN '_nobg' ELSE '' END || '.JPG' AS path, CAST(900 + p_size * 10 AS BIGINT) AS length, CAST(p_partkey % 3 AS INT) AS rank"
+
+
+@query(
+    f"WITH f AS (SELECT DISTINCT {ALIASED} FROM part), g AS (SELECT *, split_part(path, '/', 2) AS name FROM f WHERE length >= 1000), "
+    r"h AS (SELECT *, regexp_replace(name, '_nobg(\.[^.]*)$', '\1') AS plain FROM g), a AS (SELECT path, rank, unnest(list_distinct([name, lower(name), regexp_replace(name, '^[a-z]+_', ''), regexp_extract(name, '([0-9a-fA-F]{8,})', 1), plain, regexp_replace(plain, '(\.[^.]*)$', '_nobg\1')])) AS alias FROM h) "
+    "SELECT alias, max_by(path, (rank, path)) AS path FROM a WHERE alias <> '' GROUP BY alias"
+)
+def file_aliases(spark, sf_dir):
+    files = spark.sql(f"SELECT DISTINCT {ALIASED} FROM {{part}}", part=table(spark, sf_dir, "part"))
+    return images.image_aliases(files)
+
+
+@query("SELECT DISTINCT p_partkey, 'f/' || p_size AS path FROM part WHERE p_size % 3 > 0")
+def verified_matches(spark, sf_dir):
+    scored = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE p_size % 3 WHEN 0 THEN IF(p_size % 2 = 0, NULL, '') ELSE 'f/' || p_size END AS path", "0.1 AS score")
+    return images.verified_images(scored.union(scored), "p_partkey", "path")
+
+
+# ---------------------------------------------------------------- both output tables of one pass
+@query(
+    f"WITH {COMPARISON}, t AS (SELECT 'result' AS table, p_partkey::VARCHAR AS code, CASE WHEN k_diff IS NULL THEN '-' ELSE 'k' END AS k, NULL::VARCHAR AS price FROM c UNION ALL "
+    "SELECT 'upload', p_partkey::VARCHAR, CASE WHEN k_diff IS NULL THEN '' ELSE 'k' END, k_price::BIGINT::VARCHAR FROM c WHERE k_diff < -1) SELECT * FROM t"
+)
+def both_outputs(spark, sf_dir):
+    """Rows of result and upload as they are written: the upload's only where k undercuts, with its price as text."""
+    c = comparison(spark, sf_dir).withColumn("code", F.col("p_partkey").cast("string"))
+    both = sinks.both_tables(c, upload=F.col("k_diff") < -1)
+    r, u = (list(x) for x in (S.RESULT_COLUMNS, S.UPLOAD_COLUMNS))
+    result = F.col("table") == "result"
+    cell = lambda name: F.when(result, F.col(f"r{r.index(name)}")).otherwise(F.col(f"u{u.index(name)}"))
+    mark = F.when(cell("k_diff").isin("-", ""), cell("k_diff")).otherwise("k")
+    return both.select("table", cell("code").alias("code"), mark.alias("k"), F.when(~result, cell("k_price")).alias("price"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.llm import chat, decontam, embed_dedup, jaccard, licenses, mixing, quality, simhash, suffix_dedup, tokens, urls
+from offerloom.llm import align, chat, decontam, embed_dedup, jaccard, licenses, manifest, mixing, quality, simhash, substring_dedup, suffix_dedup, tokens, urls
 from offerloom.llm.common import Scratch, components
 
 from .test_llm import DOCS, brute_cut, documents, fingerprint, five_words, smallest, words
@@ -99,6 +99,7 @@ OPERATORS = {
     "op1": lambda d, b, y: decontam.leaks(d, b), "op1 stage": lambda d, b, y: decontam.without_leaks(d, b), "op2": lambda d, b, y: suffix_dedup.cut_repeats(d), "op2 stage": lambda d, b, y: suffix_dedup.without_repeats(d, words=51),
     "op4": lambda d, b, y: simhash.simhash_groups(d), "op4 stage": lambda d, b, y: simhash.drop_near_copies(d), "similar": lambda d, b, y: jaccard.drop_similar(d), "op6": lambda d, b, y: mixing.mix(d), "op7": lambda d, b, y: licenses.scan(d),
     "op9": lambda d, b, y: tokens.count_tokens(d), "op10": lambda d, b, y: quality.classify(d, y), "op10 stage": lambda d, b, y: quality.good_documents(d, y),
+    "op11": lambda d, b, y: substring_dedup.without_later(d), "op12": lambda d, b, y: align.align(d, "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"), "op13": lambda d, b, y: manifest.manifest(d),
 }
 
 
@@ -121,6 +122,15 @@ def test_empty_long_and_repeated(spark, name):
         assert {(0, fingerprint(long_)), (0, fingerprint(base)), (6, fingerprint(long_)), (2, 0)} <= rows
     if name == "op9":
         assert {(r.doc_id, r.n_pretokens) for r in got.collect()} >= {(0, 150_000), (1, 1), (2, 0), (3, 0)}
+    if name == "op11":
+        rows = {(r.doc_id, r.n_words, r.n_removed) for r in got.collect()}
+        assert rows == {(0, 150_000, 0), (0, 100, 0), (1, 1, 0), (2, 0, 0), (3, 0, 0), (4, 100, 100), (5, 100, 100), (6, 150_000, 150_000)}
+    if name == "op12":
+        rows = {r.doc_id: r for r in got.filter("doc_id in (1, 2, 3, 6)").collect()}
+        assert rows[1].n_a > 1000 and rows[1].n_groups == rows[1].n_links > 0 and rows[6].n_a >= 150_000
+        assert {(rows[i].n_a, rows[i].n_b, rows[i].n_links, rows[i].count_sum, rows[i].groups_sha256) for i in (2, 3)} == {(0, 0, 0, 0, "")}
+    if name == "op13":
+        assert {r.verified for r in got.collect()} == {True} and len({r.root for r in got.collect()}) == 1
     if name == "op2":
         small = [t if t is None or len(t) < 1000 else None for t in texts]
         want = brute_cut(small)
@@ -128,6 +138,25 @@ def test_empty_long_and_repeated(spark, name):
         assert {(r.n_bytes, r.n_removed) for r in got.filter("doc_id = 6").collect()} == {(len(long_.encode()), len(long_.encode()))}
 
 
+def test_long_vectors_paths_and_turns(spark):
+    """Operators whose input is no document: nulls, empties, very long values, repeated rows, and empty tables."""
+    rng = random.Random(26)
+    v = [rng.gauss(0, 1) for _ in range(20_000)]
+    vectors = spark.createDataFrame([(0, v, "a"), (1, [x * 3 for x in v], "a"), (1, [x * 3 for x in v], "a"), (2, [], "a"), (3, None, "a"), (4, v, None), (5, [-x for x in v], "a")], "vec_id long, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(vectors).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+    assert embed_dedup.near_duplicates(vectors.limit(0)).count() == 0
+    deep = "http://a.com/" + "/".join(f"s{i}" for i in range(400))
+    pages = spark.createDataFrame([(0, deep), (0, deep), (1, "http://b.org/" + "x" * 200_000), (2, None), (3, ""), (4, "://"), (None, "http://a.com/")], "page_id long, url string").withColumn("host", F.lit(1))
+    got = sorted((-1 if r.page_id is None else r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in urls.judge(pages).collect())
+    assert got == [(-1, "a.com", 1, "com/", "allow"), (0, "a.com", len(deep) - 12, "com/", "allow"), (0, "a.com", len(deep) - 12, "com/", "allow"), (1, "b.org", 200_001, None, "allow"), (2, "", 0, None, "allow"), (3, "", 0, None, "allow"), (4, "", 0, None, "allow")]
+    assert urls.judge(pages.limit(0)).count() == 0
+    talk = spark.createDataFrame([(1, 0, "Ann", "x" * 300_000), (1, 1, "Bob", None), (1, 1, "Bob", None), (2, 0, None, "y"), (None, 0, "Cy", "z")], "conv_id long, turn long, role string, text string").withColumn("perspective", F.lit(1))
+    rows = chat.rotate(talk).collect()
+    assert {(r.conv_id, r.perspective, r.n_turns) for r in rows} >= {(1, "Ann", 3), (1, "Bob", 3)} and max(len(r.rendered) for r in rows) > 300_000
+    assert chat.rotate(talk.limit(0)).count() == 0
+
+
 def test_ties(spark):
     docs = spark.createDataFrame([(1, "a b c d", "en", "s", 1)] * 6 + [(2, "a b c d", "en", "t", 1)] * 3, DOCS)
     rows = mixing.mix(docs).collect()

@@ -6,12 +6,14 @@ mark inside single quotes or the word ``None`` inside a text stay what they are,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Strings of either quote, numbers also as NumPy prints them, names, and the signs of containers
 TOKEN = (
-    r"""'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|(?:np\.|numpy\.)?[a-z_]+[0-9]*\([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\)|[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|[A-Za-z_][A-Za-z_0-9]*|[{}\[\](),:]|\s+"""
+    r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|(?:np\.|numpy\.)?[a-z_]+[0-9]*\([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\)|[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|[A-Za-z_][A-Za-z_0-9]*|[{}\[\](),:]|\s+"""
 )
 #: Stands for an escaped backslash while the other escapes are rewritten; no text holds it
 MARK = "￿"
@@ -20,17 +22,22 @@ NAMES = {"None": "null", "nan": "null", "True": "true", "False": "false"}
 BRACKETS = {"(": "[", ")": "]"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once a row however often the body names it; a column named inside a lambda would be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _string(token: Column) -> Column:
     """A string token between double quotes, with the escapes of JSON."""
-    body = F.substring(token, F.lit(2), F.length(token) - 2)
-    body = F.replace(body, F.lit("\\\\"), F.lit(MARK))
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    body = F.replace(plain, F.lit("\\\\"), F.lit(MARK))
     body = F.replace(F.replace(body, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
     body = F.replace(body, F.lit('"'), F.lit('\\"'))
     body = F.regexp_replace(body, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
     body = F.replace(F.replace(body, F.lit("\\a"), F.lit("\\u0007")), F.lit("\\v"), F.lit("\\u000b"))
     body = F.regexp_replace(body, r'\\([^nrtbfu"])', MARK + "$1")  # any other escape is the two characters themselves
     body = F.replace(F.replace(body, F.lit("\t"), F.lit("\\t")), F.lit(MARK), F.lit("\\\\"))
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    return F.concat(F.lit('"'), F.when(plain.rlike(r'[\\"\t]'), body).otherwise(plain), F.lit('"'))
 
 
 def _number(token: Column) -> Column:
@@ -44,21 +51,24 @@ def literal_json(cell: Column) -> Column:
     Tuples become arrays; keys that are numbers or names become strings as Python writes them; a comma before a closing bracket goes. NumPy's ``np.float64(1.5)`` is its number.
     JSON is taken as it is. Sets, bytes, and strings with prefixes or in three quotes are null. A repeated key makes a cell null.
     """
-    all_tokens = F.regexp_extract_all(cell, F.lit(f"({TOKEN})"), 1)
-    tokens = F.filter(all_tokens, lambda t: F.trim(F.regexp_replace(t, r"\s", "")) != "")
-
-    def written(t: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(tokens, i + 1), F.lit(""))
-        named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), t), F.element_at(F.create_map(*[F.lit(x) for pair in BRACKETS.items() for x in pair]), t), t)
-        value = F.when(t.rlike(r"""^['"]"""), _string(t)).when(t.rlike(r"^[-+.0-9]|\("), F.when(F.length(t) > 1, _number(t)).otherwise(named)).otherwise(named)
-        key = (after == ":") & ~t.rlike(r"""^['"{}\[\](),:]""")
+    quotes, signs = ("'", '"'), tuple("{}[](),:")
+    words = [F.lit(x) for pair in (NAMES | BRACKETS).items() for x in pair]
+
+    def written(t: Column, after: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        named = F.coalesce(F.element_at(F.create_map(*words), t), t)
+        value = F.when(first.isin(*quotes), _string(t)).when(F.length(t) == 1, named).when(t.rlike(r"^[-+.0-9]|\("), _number(t)).otherwise(named)
+        key = (after == ":") & ~first.isin(*quotes, *signs)
         drop = (t == ",") & after.isin("}", "]", ")")
         return F.when(drop, "").when(key, F.concat(F.lit('"'), F.regexp_replace(t, r"^.*\(|\)$", ""), F.lit('"'))).otherwise(value)
 
-    joined = F.array_join(F.transform(tokens, written), "")
-    whole = F.array_join(all_tokens, "") == cell
-    single = F.json_array_length(F.concat(F.lit("["), joined, F.lit("]"))) == 1  # a parser stops at the end of the first value, whatever follows
-    return F.when(whole & single & F.try_parse_json(joined).isNotNull(), joined)
+    def of_tokens(all_tokens: Column) -> Column:
+        joined = let(F.filter(all_tokens, lambda t: ~t.rlike(r"^\s")), lambda tokens: F.array_join(F.transform(tokens, lambda t, i: written(t, F.coalesce(F.get(tokens, i + 1), F.lit("")))), ""))
+        single = lambda j: F.json_array_length(F.concat(F.lit("["), j, F.lit("]"))) == 1  # noqa: E731 a parser stops at the end of the first value, whatever follows
+        sound = let(joined, lambda j: F.when(single(j) & F.try_parse_json(j).isNotNull(), j))
+        return F.when(F.array_join(all_tokens, "") == cell, sound)
+
+    return let(F.regexp_extract_all(cell, F.lit(f"({TOKEN})"), 1), of_tokens)
 
 
 def literal_variant(cell: Column) -> Column:
@@ -66,7 +76,11 @@ def literal_variant(cell: Column) -> Column:
     return F.try_parse_json(literal_json(cell))
 
 
+def json_map(json: Column) -> Column:
+    """The map of :func:`literal_map` where the JSON is known already."""
+    return F.when(json.startswith("{"), F.from_json(json, "map<string,string>"))
+
+
 def literal_map(cell: Column) -> Column:
     """A dict's keys with their values as text, nested ones as JSON; null for anything but a dict."""
-    json = literal_json(cell)
-    return F.when(json.startswith("{"), F.from_json(json, "map<string,string>"))
+    return let(literal_json(cell), json_map)

@@ -14,7 +14,7 @@ from .. import sinks
 from ..functions import literals as L
 from ..operators import filters, images, joins
 from ..sources import readers, tier_function
-from .registry import COMPARISON, comparison, query, table
+from .registry import COMPARISON, comparison, query, spread, table
 
 
 def made(template: str, **columns: str) -> str:
@@ -40,8 +40,9 @@ CELL = (
     "CASE p_partkey % 5 WHEN 0 THEN '300,deep,n,name,url' WHEN 1 THEN '300,deep,n,name,url' END AS keys FROM part"
 )
 def literal_cells(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{CELL} AS cell")
-    rows = rows.select("p_partkey", L.literal_json(F.col("cell")).alias("j"), L.literal_variant(F.col("cell")).alias("v"), L.literal_map(F.col("cell")).alias("m"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).selectExpr("p_partkey", f"{CELL} AS cell")
+    rows = rows.select("p_partkey", L.literal_json(F.col("cell")).alias("j"))
+    rows = rows.select("p_partkey", "j", F.try_parse_json("j").alias("v"), L.json_map(F.col("j")).alias("m"))
     at = lambda path, kind: F.try_variant_get("v", path, kind)
     return rows.select(
         "p_partkey", F.col("j").isNotNull().alias("literal"), F.col("m")["url"].alias("url"), F.get_json_object("j", "$.name").alias("name"), at("$.n", "long").alias("n"), at("$['300']", "double").alias("tier"),

@@ -39,9 +39,9 @@ def image_aliases(files: DataFrame) -> DataFrame:
 
 def as_image(value: Column, source: str) -> Column:
     """An image struct of an address or of a struct's text, as JSON or a Python literal; null for anything else."""
-    parsed = F.from_json(L.literal_json(value), S.IMAGE)
+    parsed = L.let(F.from_json(L.literal_json(value), S.IMAGE), lambda image: F.when(T.is_http(image["url"]), image))
     plain = F.struct(*[(value if f.name == "url" else F.lit(source) if f.name == "source" else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.IMAGE.fields])
-    return F.when(T.is_http(value), plain).when(value.startswith("{") & T.is_http(parsed["url"]), parsed)
+    return F.when(T.is_http(value), plain).when(value.startswith("{"), parsed)
 
 
 def first_field(df: DataFrame, names: tuple[str, ...]) -> Column:

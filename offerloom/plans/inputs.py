@@ -70,7 +70,7 @@ def tiers_of_cells(spark, sf_dir):
     "CASE WHEN p_partkey % 6 = 5 THEN 'base' END AS source FROM c"
 )
 def image_cells(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE p_partkey % 6 WHEN 5 THEN 'http://i/' || p_partkey || '.jpg' ELSE {CELL} END AS cell")
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).selectExpr("p_partkey", f"CASE p_partkey % 6 WHEN 5 THEN 'http://i/' || p_partkey || '.jpg' ELSE {CELL} END AS cell")
     return rows.withColumn("i", images.as_image(F.col("cell"), "base")).select("p_partkey", "i.url", "i.source")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from offerloom import schema as S
 from offerloom.functions import literals as L
-from offerloom.operators import filters
+from offerloom.operators import filters, images
 from offerloom.plans import registry
 from offerloom.sinks import both_tables, counted_write, read_pair, result_table, upload_table, write_pair
 from offerloom.sources import html_tables, readers, tier_function, workbooks
@@ -44,14 +44,14 @@ def test_a_cell_is_lexed_once(spark):
     """However many tokens a cell has and however often its parts are asked for; and a long text in it is no deep recursion."""
     long = {str(i): ["x" * 10, i] for i in range(2000)} | {"long": "y\\'" * 30000}
     df = spark.createDataFrame([(repr(long),)], "c string")
-    for made in (L.literal_json(F.col("c")), L.literal_map(F.col("c"))):
+    for made in (L.literal_json(F.col("c")), L.literal_map(F.col("c")), images.as_image(F.col("c"), "base")["url"]):
         assert df.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert json.loads(df.select(L.literal_json(F.col("c"))).first()[0]) == long
 
 
 def test_per_row_work_is_spread(spark):
     """One small file is read by one task; what is done for each row isn't."""
-    for name in ("literal_cells",):
+    for name in ("literal_cells", "image_cells",):
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.select(F.spark_partition_id()).distinct().count() > 1, name
 

@@ -61,8 +61,9 @@ TIERS = (
     "unnest(CASE p_partkey % 4 WHEN 0 THEN [1000.0 + p_size, 900.0 + p_size] WHEN 1 THEN [1000.0 + p_size, 900.5 + p_size] ELSE [p_retailprice] END)::DOUBLE AS price FROM part"
 )
 def tiers_of_cells(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{TIERS} AS tiers_json", "p_size AS k_qty", "p_retailprice AS k_price")
-    return readers.tiers_of_row(rows).select("p_partkey", F.explode("tiers").alias("quantity", "price"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")).selectExpr("p_partkey", f"{TIERS} AS tiers_json", "p_size AS k_qty", "p_retailprice AS k_price")
+    # a plain explode would have the cells read beforehand, to leave out rows without tiers, and that in the tasks that read the file
+    return readers.tiers_of_row(rows).select("p_partkey", F.explode_outer("tiers").alias("quantity", "price")).filter("quantity is not null")
 
 
 @query(

@@ -184,4 +184,4 @@ def tiers_of_row(df: DataFrame, raw: str = "tiers_json", quantity: str = "k_qty"
     priced = F.transform_values(F.transform_keys(whole, lambda k, v: k.cast("int")), lambda k, v: F.coalesce(v.try_cast("double"), F.get_json_object(v, "$.price").try_cast("double")))
     made = F.map_filter(priced, lambda k, v: v.isNotNull())
     single = F.when(F.col(quantity).isNotNull() & F.col(price).isNotNull(), F.create_map(F.col(quantity).cast("int"), F.col(price).cast("double")))
-    return df.withColumn("tiers", F.coalesce(F.when(F.size(made) > 0, made), single))
+    return df.withColumn("tiers", F.coalesce(L.let(made, lambda m: F.when(F.size(m) > 0, m)), single))

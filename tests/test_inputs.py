@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from offerloom import schema as S
 from offerloom.functions import literals as L
 from offerloom.operators import filters, images
-from offerloom.plans import registry
+from offerloom.plans import inputs, registry
 from offerloom.sinks import both_tables, counted_write, read_pair, result_table, upload_table, write_pair
 from offerloom.sources import html_tables, readers, tier_function, workbooks
 
@@ -49,9 +49,14 @@ def test_a_cell_is_lexed_once(spark):
     assert json.loads(df.select(L.literal_json(F.col("c"))).first()[0]) == long
 
 
+def test_tiers_of_cells_are_read_once(spark):
+    df = inputs.tiers_of_cells(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_per_row_work_is_spread(spark):
     """One small file is read by one task; what is done for each row isn't."""
-    for name in ("literal_cells", "image_cells",):
+    for name in ("literal_cells", "tiers_of_cells", "image_cells",):
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.select(F.spark_partition_id()).distinct().count() > 1, name
 

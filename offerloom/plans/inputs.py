@@ -80,7 +80,7 @@ NESTED = made("{'url': 'http://in/<k>', 'n': None, 'alt': \"it's\"}", k="p_partk
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'http://in/' || p_partkey ELSE 'http://out/' || p_partkey END AS url FROM part")
 def flat_images(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE WHEN p_partkey % 2 = 0 THEN {NESTED} ELSE 'http://out/' || p_partkey END AS url")
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).selectExpr("p_partkey", f"CASE WHEN p_partkey % 2 = 0 THEN {NESTED} ELSE 'http://out/' || p_partkey END AS url")
     return rows.select("p_partkey", images.flatten_image(F.struct("url"))["url"].alias("url"))
 
 

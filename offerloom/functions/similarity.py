@@ -58,6 +58,10 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
+#: The same for scores that are filtered later: Spark moves no filter below it, which would have the whole score, and each part of it again, worked out for the filter too
+ratio_once = F.pandas_udf(fuzzy_ratio.func, DoubleType()).asNondeterministic()
+
+
 @F.pandas_udf(DoubleType())
 def substring_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The longest common substring over the longer length; 0 if one is empty."""
@@ -127,7 +131,7 @@ def with_text_similarity(df: DataFrame, a: str, b: str, out: str, model: Column
     staged = df.withColumns({"__x": T.clean_text(F.col(a)), "__y": T.clean_text(F.col(b))})
     staged = staged.withColumns({"__tx": T.name_tokens(F.col("__x")), "__ty": T.name_tokens(F.col("__y"))})
     differ = F.col("__x") != F.col("__y")
-    staged = staged.withColumns({"__t": token_similarity(F.col("__tx"), F.col("__ty")), "__n": number_score(F.col("__x"), F.col("__y")), "__f": fuzzy_ratio(F.when(differ, F.col("__x")), F.when(differ, F.col("__y")))})
+    staged = staged.withColumns({"__t": token_similarity(F.col("__tx"), F.col("__ty")), "__n": number_score(F.col("__x"), F.col("__y")), "__f": ratio_once(F.when(differ, F.col("__x")), F.when(differ, F.col("__y")))})
     w = TEXT_WEIGHTS
     parts = (F.lit(0.0) if model is None else model) * w["model"] + F.col("__t") * w["token"]
     parts = parts + F.col("__f") * w["fuzzy"] + (F.lit(0.0) if tfidf is None else tfidf) * w["tfidf"] + F.col("__n") * w["number"]

@@ -110,7 +110,7 @@ QUANTITIES = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN [{a}, {b}]" for i,
 )
 def price_tier_rows(spark, sf_dir):
     """Tiers of made pages as rows of a table function; of two tables on a page the one of the first detector counts."""
-    pages = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{HTML} || CASE WHEN p_partkey % 3 = 0 THEN ' 부가세 별도' ELSE '' END AS html")
+    pages = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).selectExpr("p_partkey", f"{HTML} || CASE WHEN p_partkey % 3 = 0 THEN ' 부가세 별도' ELSE '' END AS html")
     return tier_function.tier_rows(pages, "p_partkey")
 
 

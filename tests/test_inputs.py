@@ -56,7 +56,7 @@ def test_tiers_of_cells_are_read_once(spark):
 
 def test_per_row_work_is_spread(spark):
     """One small file is read by one task; what is done for each row isn't."""
-    for name in ("literal_cells", "tiers_of_cells", "image_cells", "flat_images"):
+    for name in ("literal_cells", "tiers_of_cells", "image_cells", "flat_images", "price_tier_rows"):
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.select(F.spark_partition_id()).distinct().count() > 1, name
 

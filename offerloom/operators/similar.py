@@ -6,6 +6,8 @@ grams of a text chosen by rarity. What is left is verified exactly. Results are
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions import text as T
 
 #: Room for rounding in a bound; a bound that is a little too low costs a comparison, never a pair
 EPS = 1e-9
+#: Texts of one block of :func:`top_by_tfidf`
+BLOCK = 4096
 
 
 # ---------------------------------------------------------------- sets of tokens
@@ -160,24 +164,46 @@ def top_by_tfidf(queries: DataFrame, corpus: DataFrame, k: int = 5, seeds: int =
     """``(query, text, score, rank)``: for each distinct text ``queries.t`` the ``k`` texts ``corpus.t`` with the greatest TF-IDF cosine, to six digits, equal ones by text.
 
     Weights are those of :func:`similarity.gram_weights` fitted on the corpus (``fit`` is passed on); a query's own text counts if the corpus holds it. Texts without a shared
-    gram are not listed. Exact: the ``seeds`` rarest grams of a query give first candidates and so a score that the ``k``-th best reaches at least; grams
-    whose greatest weights together stay below it can't lift a text there alone, so only the postings of the other grams are read.
+    gram are not listed. Queries and texts are cut into blocks of about ``BLOCK``; a task adds up the scores of one block of queries in one of texts, over the lists of texts of each gram, and
+    hands on the ``k`` best of each query. So what is shuffled are vectors and best rows, never the pairs; work is all with all. ``seeds`` is taken for callers that name it and decides nothing.
     """
     weights, idf = M.gram_weights(corpus, **fit)
     asked = M.weigh(queries, idf, **{x: fit[x] for x in ("sizes",) if x in fit})
-    most = weights.groupBy("g").agg(F.max("w").alias("most"), F.count("*").alias("df"))
-    terms = asked.join(most, "g").select(F.col("t").alias("q"), "g", "w", "df", (F.col("w") * F.col("most")).alias("bound"))
-    postings = weights.select(F.col("t").alias("d"), "g", F.col("w").alias("v"))
-
-    def scored(met: DataFrame) -> DataFrame:
-        """The full score of each pair, and its place among those of its query."""
-        full = met.join(terms.select("q", "g", "w"), "q").join(postings, ["d", "g"]).groupBy("q", "d").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score"))
-        return full.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).filter(F.col("rank") <= k)
-
-    rare = terms.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy("df", "g"))).filter(F.col("i") <= seeds)
-    first = scored(rare.select("q", "g").join(postings.select("d", "g"), "g").select("q", "d").distinct())
-    reached = first.filter(F.col("rank") == k).select("q", F.col("score").alias("least"))
-    below = F.sum("bound").over(Window.partitionBy("q").orderBy("bound", "g").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    essential = terms.withColumn("below", below).join(reached, "q", "left").filter(F.col("below") >= F.coalesce("least", F.lit(0.0)) - 1e-6)
-    out = scored(essential.select("q", "g").join(postings.select("d", "g"), "g").select("q", "d").distinct())
-    return out.select(F.col("q").alias("query"), F.col("d").alias("text"), "score", "rank")
+    whole = lambda df, t: df.groupBy(F.col("t").alias(t)).agg(F.collect_list("g").alias("g"), F.collect_list("w").alias("w"))
+    parts = lambda df: max(1, -(-df.select("t").distinct().count() // BLOCK))
+    n, m = parts(queries), parts(corpus)
+    block = lambda t, parts: F.pmod(F.xxhash64(t), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    q = whole(asked, "q").withColumn("i", block("q", n)).withColumn("j", every(m))
+    d = whole(weights, "d").withColumn("j", block("d", m)).withColumn("i", every(n))
+
+    def scored(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("d", ignore_index=True)
+        lists: dict[str, tuple[list, list]] = {}
+        for at, (gs, ws) in enumerate(zip(d["g"], d["w"])):
+            for g, w in zip(gs, ws):
+                held = lists.setdefault(g, ([], []))
+                held[0].append(at)
+                held[1].append(w)
+        arrays = {g: (np.array(at, dtype="int32"), np.array(w)) for g, (at, w) in lists.items()}
+        asked, texts, scores = [], [], []
+        for text, gs, ws in zip(q["q"], q["g"], q["w"]):
+            total = np.zeros(len(d))
+            for g, w in zip(gs, ws):
+                if g in arrays:
+                    at, v = arrays[g]
+                    total[at] += w * v
+            met = np.flatnonzero(total)
+            score = np.floor(total[met] * 1e6 + 0.5) / 1e6
+            if len(met) > k:
+                near = score >= np.partition(score, -k)[-k]
+                met, score = met[near], score[near]
+            first = np.argsort(-score, kind="stable")[:k]  # texts are in order, so equal scores go by text
+            asked += [text] * len(first)
+            texts += d["d"].to_numpy()[met[first]].tolist()
+            scores += score[first].tolist()
+        return pd.DataFrame({"q": asked, "d": texts, "score": scores}).astype({"q": object, "d": object, "score": float})
+
+    best = q.groupBy("i", "j").cogroup(d.groupBy("i", "j")).applyInPandas(scored, "q string, d string, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias("query"), F.col("d").alias("text"), "score", "rank")

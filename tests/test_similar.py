@@ -142,6 +142,16 @@ def test_one_use_of_classes_is_one_use(spark):
     assert got == {tuple(r) for r in joins.one_use(pairs, "p", "i", "lo", "ro").collect()} and len(got) > 20
 
 
+def test_top_by_tfidf_is_the_same_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    names = texts(spark, [" ".join(rng.choices(["red", "blue", "old", "bolt", "ring", "plate", "anvil"], k=3)) for _ in range(120)], "t")
+    whole = similar.top_by_tfidf(names, names, 4)
+    monkeypatch.setattr(similar, "BLOCK", 25)
+    cut = similar.top_by_tfidf(names, names, 4)
+    assert whole.count() > 300 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInPandas")[0]
+
+
 def test_three_similar(spark):
     products = spark.createDataFrame([(0, "A"), (1, "A"), (2, "A"), (3, "B")], "ordinal int, product_name string")
     images = [("base", "b0", "A", 0), ("base", "b1", "A", 1), ("k", "k0", "A", 0), ("k", "k1", "A", 1), ("k", "k2", "A", 2), ("n", "n0", "A", 0), ("n", "n1", "B", 1)]

@@ -132,7 +132,7 @@ def sampled_orders(spark, sf_dir):
 
 @query("SELECT p.p_partkey, p.p_name AS product_name, s.s_suppkey FROM (SELECT * FROM part WHERE p_size < 10) p LEFT JOIN (SELECT s_suppkey, p_name || '  ' AS n FROM supplier JOIN part ON p_partkey = s_suppkey) s ON trim(p.p_name) = trim(s.n)")
 def offers_by_name(spark, sf_dir):
-    products = table(spark, sf_dir, "part").filter("p_size < 10").select("p_partkey", F.col("p_name").alias("product_name"))
+    products = spread(table(spark, sf_dir, "part").filter("p_size < 10")).select("p_partkey", F.col("p_name").alias("product_name"))
     offers = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.concat("p_name", F.lit("  ")).alias("product_name"))
     return joins.offers_of(products, offers, trim=True)
 

@@ -152,6 +152,23 @@ def test_top_by_tfidf_is_the_same_in_blocks(spark, monkeypatch):
     assert "Join" not in cut._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInPandas")[0]
 
 
+def test_a_common_name_is_no_single_task(spark):
+    products = spark.createDataFrame([(i, "x ") for i in range(200)] + [(200, "y"), (201, None)], "id int, product_name string")
+    offers = spark.createDataFrame([(j, "x") for j in range(30)], "o int, product_name string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = joins.offers_of(products, offers, trim=True)
+        assert got.columns == ["id", "product_name", "o"]
+        rows = got.select("id", "o", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, -1 if r.o is None else r.o) for r in rows) == [(i, j) for i in range(200) for j in range(30)] + [(200, -1), (201, -1)]
+    assert len({r.at for r in rows if r.o is not None}) > 2
+
+
 def test_three_similar(spark):
     products = spark.createDataFrame([(0, "A"), (1, "A"), (2, "A"), (3, "B")], "ordinal int, product_name string")
     images = [("base", "b0", "A", 0), ("base", "b1", "A", 1), ("k", "k0", "A", 0), ("k", "k1", "A", 1), ("k", "k2", "A", 2), ("n", "n0", "A", 0), ("n", "n1", "B", 1)]

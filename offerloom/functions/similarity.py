@@ -123,13 +123,20 @@ def text_similarity(a: Column, b: Column, model: Column, tfidf: Column | None =
     return F.when(blank, 0.0).when(x == y, 1.0).otherwise(parts)
 
 
+def with_tokens(df: DataFrame, name: str, side: str) -> DataFrame:
+    """``df`` with a name's cleaned text ``__<side>`` and its tokens ``__t<side>``. What is clean without brackets stays as it is when cleaned again."""
+    out = df.withColumn(f"__{side}", T.clean_text(F.col(name)))
+    clean = F.col(f"__{side}")
+    return out.withColumn(f"__t{side}", F.when(F.coalesce(F.col(name).contains("("), F.lit(False)), T.name_tokens(clean)).otherwise(T.split_words(T.words(clean))))
+
+
 def with_text_similarity(df: DataFrame, a: str, b: str, out: str, model: Column | None = None, tfidf: Column | None = None) -> DataFrame:
     """``df`` with :func:`text_similarity` of two columns as ``out``, its parts staged so that each name is cleaned and cut once a row.
 
-    Names that clean to the same text are not handed to Python.
+    Names that clean to the same text are not handed to Python. Of names that stand beside many others, :func:`with_tokens` may be asked for beforehand, as side ``x``.
     """
-    staged = df.withColumns({"__x": T.clean_text(F.col(a)), "__y": T.clean_text(F.col(b))})
-    staged = staged.withColumns({"__tx": T.name_tokens(F.col("__x")), "__ty": T.name_tokens(F.col("__y"))})
+    staged = df if "__tx" in df.columns else with_tokens(df, a, "x")
+    staged = with_tokens(staged, b, "y")
     differ = F.col("__x") != F.col("__y")
     staged = staged.withColumns({"__t": token_similarity(F.col("__tx"), F.col("__ty")), "__n": number_score(F.col("__x"), F.col("__y")), "__f": ratio_once(F.when(differ, F.col("__x")), F.when(differ, F.col("__y")))})
     w = TEXT_WEIGHTS

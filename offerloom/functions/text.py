@@ -59,12 +59,18 @@ def clean_text(text: Column) -> Column:
 
 def name_tokens(name: Column) -> Column:
     """Words of the cleaned name; a word that begins with digits and letters becomes these two, and its rest is dropped."""
+    return split_words(words(clean_text(name)))
+
+
+def split_words(words_: Column) -> Column:
+    """The tokens of :func:`name_tokens` of a cleaned name's words."""
 
     def parts(token: Column) -> Column:
         digits = F.regexp_extract(token, r"^(\d+)([a-z가-힣]+)", 1)
-        return F.when(digits != "", F.array(digits, F.regexp_extract(token, r"^(\d+)([a-z가-힣]+)", 2))).otherwise(F.array(token))
+        both = F.when(digits != "", F.array(digits, F.regexp_extract(token, r"^(\d+)([a-z가-힣]+)", 2))).otherwise(F.array(token))
+        return F.when(F.substring(token, 1, 1).between("0", "9"), both).otherwise(F.array(token))
 
-    return F.flatten(F.transform(words(clean_text(name)), parts))
+    return F.flatten(F.transform(words_, parts))
 
 
 def numbers(text: Column) -> Column:

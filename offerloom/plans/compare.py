@@ -20,6 +20,7 @@ def candidates(products: DataFrame, offers: DataFrame) -> DataFrame:
         F.col("ordinal").alias("product_id"), "product_name", F.col("base_price").cast("double").alias("base_price"), F.col("base_image"), F.col("base_qty").try_cast("int").alias("base_qty"),
         T.name_hash(F.col("product_name")).alias("base_hash"),
     )
+    p = M.with_tokens(p, "product_name", "x")  # once a product, not once a candidate
     if "product_id" in offers.columns:
         both = p.join(offers.drop("product_name"), "product_id")
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from offerloom.functions import similarity as M
 from offerloom.functions import text as T
 from offerloom.operators import joins, similar
+from offerloom.plans import market
 
 
 def texts(spark, values, name="s"):
@@ -169,6 +170,12 @@ def test_a_common_name_is_no_single_task(spark):
     assert len({r.at for r in rows if r.o is not None}) > 2
 
 
+def test_names_are_scored_once(spark):
+    """No filter takes the text score with it, to have it worked out twice."""
+    plan = market.matched_by_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2, plan.count("ArrowEvalPython")
+
+
 def test_three_similar(spark):
     products = spark.createDataFrame([(0, "A"), (1, "A"), (2, "A"), (3, "B")], "ordinal int, product_name string")
     images = [("base", "b0", "A", 0), ("base", "b1", "A", 1), ("k", "k0", "A", 0), ("k", "k1", "A", 1), ("k", "k2", "A", 2), ("n", "n0", "A", 0), ("n", "n1", "B", 1)]

@@ -20,8 +20,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each document covered by a 400-byte string that also starts elsewhere, and a digest of the rest."""
-    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), depth=400)
+    """Bytes of each document covered by a 400-byte string that also starts elsewhere, a digest of the rest, and how much stands in passages of over 50 words that do."""
+    return suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), depth=400, words=51)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch, durable
 from .simhash import word_bounds
 
 GRAM = 128
@@ -220,27 +220,28 @@ def _twice(f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = False, made: Scratch | None = None) -> DataFrame:
     """Stretches ``(id0, th, start, stop)`` of bytes of ``docs`` covered by a string of ``depth`` bytes that starts elsewhere too.
 
     Overlaps count and so does the same document; matches don't cross documents. Stretches of one document may touch or
     overlap. Only ``doc_id`` and ``text`` are read. A null or short text has none; rows that repeat repeat one another.
-    With ``words``, ``depth``, ``start`` and ``stop`` are in words.
+    With ``words``, ``depth``, ``start`` and ``stop`` are in words. Tables written on the way are in ``made``; the result reads them.
     """
+    made = made or Scratch()
     unit, gram = (np.uint64, WORD_GRAM) if words else (np.uint8, GRAM)
     if depth < 2 * gram:
         raise ValueError(f"depth must be {2 * gram} at least")
     keys = keyed(docs)
-    every = durable(_runs(keys, depth, unit), "every")
+    every = made(_runs(keys, depth, unit), "every")
     runs = every.filter("m > 0")
     wide = np.dtype(unit).itemsize
-    equal = durable(runs.groupBy("h", "u").agg(F.sum("m").alias("n")), "equal")
+    equal = made(runs.groupBy("h", "u").agg(F.sum("m").alias("n")), "equal")
     groups = equal.groupBy("h").agg(F.sum("n").alias("rows"), F.count("*").alias("k")).filter("rows > 1")
-    shared = durable(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "b", "stop", "n", "k"), "runs")
+    shared = made(runs.join(equal.join(groups, "h").select("h", "u", "n", "k"), ["h", "u"]).select("h", "u", *KEY, "a", "b", "stop", "n", "k"), "runs")
     found = shared.filter("n > 1").select(*KEY, F.col("a").alias("start"), "stop").union(every.filter("m = 0").select(*KEY, "a", "stop"))
 
     kinds = shared.filter("k > 1").groupBy("h", "u").agg(F.max("n").alias("n"), F.min(F.struct(*KEY, "a", "b")).alias("r"))
-    kinds = durable(kinds, "kinds")
+    kinds = made(kinds, "kinds")
 
     wanted = kinds.selectExpr("h", "n = 1 AS alone", "r.*").groupBy(*KEY).agg(F.collect_list(F.struct("h", "alone", "a", "b")).alias("r"))
 
@@ -258,8 +259,8 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = F
                 yield pd.DataFrame(rows, columns=["h", "alone", *KEY, "a", "b", "seg"])
 
     cut = keys.join(wanted.hint("shuffle_hash"), KEY).mapInPandas(segments, "h long, alone boolean, id0 long, th long, a long, b int, seg binary")
-    cut = durable(cut, "segments")
-    many = durable(kinds.groupBy("h").count().filter(F.col("count") > large).select("h"), "many")
+    cut = made(cut, "segments")
+    many = made(kinds.groupBy("h").count().filter(F.col("count") > large).select("h"), "many")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(rows: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +300,7 @@ def repeats(docs: DataFrame, depth: int = 400, large: int = 512, words: bool = F
                 own = rows.iloc[seg]
                 yield pd.DataFrame({"f1": f1.view(np.int64), "f2": f2.view(np.int64), "alone": own["alone"].to_numpy(), "id0": own["id0"].to_numpy(), "th": own["th"].to_numpy(), "start": own["a"].to_numpy() + place})
 
-    windows = durable(cut.join(many, "h", "left_semi").mapInPandas(spread, "f1 long, f2 long, alone boolean, id0 long, th long, start long"), "windows")
+    windows = made(cut.join(many, "h", "left_semi").mapInPandas(spread, "f1 long, f2 long, alone boolean, id0 long, th long, start long"), "windows")
     twice = windows.groupBy("f1", "f2").count().filter("count > 1").select("f1", "f2")
     return found.union(windows.filter("alone").join(twice, ["f1", "f2"], "left_semi").selectExpr(*KEY, "start", f"start + {depth} AS stop"))
 
@@ -337,55 +338,65 @@ def whole_characters(data: bytes | memoryview, gone: list[tuple[int, int]]) -> l
     return out
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int, int]]]]:
-    """The bytes of each row's ``__t`` and its merged stretches: those of ``__starts`` and ``__stops``, and of ``__wstarts`` and ``__wstops`` in words."""
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[int], list[int], list[int], list[int]]]:
+    """The bytes of each row's ``__t`` and what its stretches are: ``__starts``, ``__stops``, and in words ``__wstarts`` and ``__wstops``."""
     for at in range(0, batch.num_rows, 256):
         part = batch.slice(at, 256)
         data, off = texts_of(part.column("__t"))
         view = memoryview(data)
-        spans = zip(*(part.column(c).to_pylist() for c in ("__starts", "__stops", "__wstarts", "__wstops")))
-        for i, (starts, stops, wstarts, wstops) in enumerate(spans):
-            text = view[off[i] : off[i + 1]]
-            if wstarts:
-                opens, ends = word_bounds(text)
-                starts, stops = starts + opens[wstarts].tolist(), stops + ends[np.array(wstops) - 1].tolist()
-            yield text, merged(starts, stops) if starts else []
+        lists = zip(*(part.column(c).to_pylist() for c in ("__starts", "__stops", "__wstarts", "__wstops")))
+        for i, spans in enumerate(lists):
+            yield view[off[i] : off[i + 1]], *(x or [] for x in spans)
 
 
 def _matched(docs: DataFrame, depth: int, *columns: str, words: int | None = None) -> DataFrame:
     """``doc_id``, the text ``__t`` and ``columns`` of each row of ``docs`` with its stretches as ``__starts`` and ``__stops``, and those of ``words`` words as ``__wstarts`` and ``__wstops``; null where it has none."""
-    found = repeats(docs, depth).withColumn("w", F.lit(False))
+    own_tables = Scratch()
+
+    def of(depth: int, words: bool) -> DataFrame:
+        made = Scratch()
+        # rows that are equal in id and text all have the same stretches
+        rows = own_tables(repeats(docs, depth, words=words, made=made).distinct().withColumn("w", F.lit(words)), "found")
+        made.drop()  # one search's tables are gone before the next one starts
+        return rows
+
+    found = of(depth, False)
     if words:
-        found = found.union(repeats(docs, words, words=True).withColumn("w", F.lit(True)))
+        found = found.union(of(words, True))
     lists = [F.collect_list(F.when(F.col("w") == w, F.col(c))) for w in (False, True) for c in ("start", "stop")]
-    found = found.distinct()  # rows that are equal in id and text all have the same stretches
     spans = durable(found.groupBy(*KEY).agg(*lists).toDF("__i0", "__h0", "__starts", "__stops", "__wstarts", "__wstops"), "spans")
+    own_tables.drop()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select("doc_id", *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__i"), F.xxhash64(text, F.col("doc_id").isNull()).alias("__h"), text.cast("binary").alias("__t"))
     both = own.join(spans.hint("shuffle_hash"), (F.col("__i") == F.col("__i0")) & (F.col("__h") == F.col("__h0")), "left")
     return both.select("doc_id", *columns, "__t", "__starts", "__stops", "__wstarts", "__wstops")
 
 
-def cut_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, depth: int = 400, words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (lowercase hex of the bytes left).
 
     Each byte that :func:`repeats` covers goes. A null text counts as an empty one. An empty table gives none.
+    With ``words`` two columns follow: ``n_passage_words``, how many words are covered by that many in a row that start elsewhere too, and
+    ``n_passages``, the unbroken runs of them. They tell of passages shorter than ``depth`` bytes as well; what is removed stays as it is.
     """
     schema = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    schema += [("n_passages", pa.int64()), ("n_passage_words", pa.int64())] if words else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, gone in _stretches(batch):
+            for data, starts, stops, wstarts, wstops in _stretches(batch):
+                gone, passages = merged(starts, stops), merged(wstarts, wstops)
                 sha = hashlib.sha256()
                 for part in kept(data, gone):
                     sha.update(part)
-                rows.append((len(data), sum(e - s for s, e in gone), len(gone), sha.hexdigest()))
+                rows.append((len(data), sum(e - s for s, e in gone), len(gone), sha.hexdigest(), len(passages), sum(e - s for s, e in passages)))
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(schema)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *(name for name, _ in schema)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _matched(docs, depth).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    more = ", n_passages long, n_passage_words long" if words else ""
+    return _matched(docs, depth, words=words).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
 
 
 def without_repeats(docs: DataFrame, depth: int = 400, words: int | None = None) -> DataFrame:
@@ -398,7 +409,12 @@ def without_repeats(docs: DataFrame, depth: int = 400, words: int | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [str(b"".join(kept(data, whole_characters(data, gone))), "utf-8", "replace") for data, gone in _stretches(batch)]
+            texts = []
+            for data, starts, stops, wstarts, wstops in _stretches(batch):
+                if wstarts:
+                    opens, ends = word_bounds(data)
+                    starts, stops = starts + opens[wstarts].tolist(), stops + ends[np.array(wstops) - 1].tolist()
+                texts.append(str(b"".join(kept(data, whole_characters(data, merged(starts, stops)))), "utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=["doc_id", *rest, "text"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from offerloom.llm import chat, decontam, embed_dedup, licenses, mixing, quality, simhash, suffix_dedup, tokens, urls
+from offerloom.llm import chat, decontam, embed_dedup, licenses, mixing, quality, queries, simhash, suffix_dedup, tokens, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,6 +86,35 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.cut_repeats(documents(spark, texts).limit(0)).count() == 0
 
 
+def brute_passages(texts, run=51):
+    """Runs of words covered by ``run`` words in a row that start elsewhere too, and their words."""
+    data = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = {}
+    for d, w in enumerate(data):
+        for i in range(len(w) - run + 1):
+            seen.setdefault(tuple(w[i : i + run]), []).append((d, i))
+    hit = [bytearray(len(w)) for w in data]
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                hit[d][i : i + run] = b"\1" * run
+    return {d: (len(re.findall(b"\1+", bytes(h))), sum(h)) for d, h in enumerate(hit)}
+
+
+def test_suffix_dedup_tells_of_passages_under_400_bytes(spark, tmp_path):
+    rng = random.Random(31)
+    p = words(rng, 55).split()
+    assert len(" ".join(p).encode()) < 400
+    texts = [words(rng, 40) + " " + " ".join(p) + " " + words(rng, 30), words(rng, 9) + "\n" + "\t".join(p), words(rng, 20) + " " + " ".join(p[:50]) + " x", None, "", words(rng, 90)]
+    texts += [" ".join(p[2:53]), words(rng, 60) + " " + texts[5], "a b " * 40]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op2_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == brute_cut(texts)  # the cut itself is still that of 400 bytes
+    got = {r.doc_id: (r.n_passages, r.n_passage_words) for r in rows}
+    assert got == brute_passages(texts)
+    assert [got[i] for i in (0, 1, 2, 3, 4, 6, 8)] == [(1, 55), (1, 55), (0, 0), (0, 0), (0, 0), (1, 51), (1, 80)]
+
+
 def test_suffix_dedup_large_groups(spark):
     rng = random.Random(8)
     base = words(rng, 120)
